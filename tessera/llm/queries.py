@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann_hilbert, bpe_codec, embed_dedup, packing, sharding, simhash, token_counts
+from . import ann_hilbert, bpe_codec, embed_dedup, langid, packing, quality_fm, sharding, simhash, token_counts, toxicity
 from .common import read, remainder
 
 
+def op1_quality_fm(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = quality_fm.score(docs.select("doc_id", "text", "n_chars"), quality_fm.fit(docs, labels))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_hyperplane_dedup(spark, sf_dir):
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -27,6 +33,18 @@ def op5_hilbert_neighbours(spark, sf_dir):
     return ann_hilbert.nearest(table, table.where(F.col("vec_id") % 50 == 0))
 
 
+def op6_language_spans(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_deobfuscated_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_uniform_shards(spark, sf_dir):
     return sharding.uniform_shards(read(spark, sf_dir, "documents"))
 
@@ -41,7 +59,7 @@ def op10_bpe_codec(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_hyperplane_dedup, op3_covering_simhash, op4_harmonic_packing, op5_hilbert_neighbours, op8_uniform_shards, op9_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_hyperplane_dedup, op3_covering_simhash, op4_harmonic_packing, op5_hilbert_neighbours, op6_language_spans, op7_deobfuscated_toxicity, op8_uniform_shards, op9_token_counts, op10_bpe_codec)}
 
 
 def oracle_sql():
