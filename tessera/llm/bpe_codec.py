@@ -25,18 +25,23 @@ from . import bpe
 from .common import texts
 
 
+#: Numbers are compressed in parts of about so many bytes.
+_PART_BYTES = 4 << 20
+
+
 class _Block:
     """Distinct pre-tokens of a block, numbered as they come, and its documents as numbers."""
 
     def __init__(self, pattern: str):
-        self.pattern, self.words, self.chunks, self.rows, self.n_chars = pattern, {}, {}, [], 0
+        self.pattern, self.words, self.chunks, self.n_chars = pattern, {}, {}, 0
+        self.ids, self.held, self.held_bytes, self.parts = [], [], 0, []
         self.mark = hashlib.blake2b(digest_size=8)
 
     def numbers(self, text: str) -> bytes:
         words = self.words
         return np.array([words.setdefault(w, len(words)) for w in bpe.split(text, self.pattern)], "<u4").tobytes()
 
-    def add(self, text: str | None) -> bytes:
+    def add(self, doc_id: int | None, text: str | None) -> None:
         text = text or ""
         self.n_chars += len(text)
         if bpe.UNSAFE.search(text) or not bpe.lone_spaces(text):
@@ -48,26 +53,40 @@ class _Block:
                 if c not in chunks:
                     chunks[c] = self.numbers(" " + c)
             data = self.numbers(first) + b"".join(map(chunks.__getitem__, rest))
-        # Bytes of equal weight stand together, which compresses well.
-        planes = np.frombuffer(data, np.uint8).reshape(-1, 4).T.tobytes()
-        packed = zstandard.compress(planes, 3)
-        self.mark.update(packed)
-        return packed
+        self.ids.append(doc_id)
+        self.held.append(data)
+        self.held_bytes += len(data)
+        if self.held_bytes >= _PART_BYTES:
+            self.close_part()
+
+    def close_part(self) -> None:
+        """Compress the numbers of the documents held: together, and bytes of equal weight side by side."""
+        if self.ids:
+            planes = np.frombuffer(b"".join(self.held), np.uint8).reshape(-1, 4).T.tobytes()
+            part = self.ids, [len(x) // 4 for x in self.held], zstandard.compress(planes, 3)
+            self.mark.update(repr(part[:2]).encode() + part[2])
+            self.parts.append(part)
+            self.ids, self.held, self.held_bytes = [], [], 0
 
 
 def _blocks(batches, pattern: str, block_chars: int):
-    """(id array, packed numbers, block) of each block; bounded by block_chars and one document."""
-    block, ids, packed = _Block(pattern), [], []
+    """The blocks of a task; each is bounded by block_chars and one document."""
+    block = _Block(pattern)
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-            ids.append(doc_id)
-            block.mark.update(repr(doc_id).encode())
-            packed.append(block.add(text))
+            block.add(doc_id, text)
             if block.n_chars >= block_chars:
-                yield ids, packed, block
-                block, ids, packed = _Block(pattern), [], []
-    if ids:
-        yield ids, packed, block
+                block.close_part()
+                yield block
+                block = _Block(pattern)
+    block.close_part()
+    if block.parts:
+        yield block
+
+
+def _id_type(ranks: str) -> str:
+    """The narrowest unsigned type for the vocabulary's ids between tasks."""
+    return "<u2" if len(bpe.token_bytes(ranks)) <= 1 << 16 else "<u4"
 
 
 def _block_id(block: _Block) -> int:
@@ -85,20 +104,21 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = 32_000_
     id_type = docs.schema["doc_id"]
 
     def doc_rows(batches):
-        for ids, packed, block in _blocks(batches, pattern, block_chars):
-            for i in range(0, len(ids), 2000):
-                n = len(ids[i : i + 2000])
-                yield pa.RecordBatch.from_arrays([pa.array([_block_id(block)] * n, pa.int64()), pa.array(ids[i : i + 2000], pa.int64()), pa.array(packed[i : i + 2000], pa.binary())], names=["block", "doc_id", "packed"])
+        for block in _blocks(batches, pattern, block_chars):
+            for ids, sizes, packed in block.parts:
+                yield pa.RecordBatch.from_arrays([pa.array([_block_id(block)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "ids", "sizes", "packed"])
 
     def word_rows(batches):
-        for _, _, block in _blocks(batches, pattern, block_chars):
-            words = [w.encode("utf-8", "surrogatepass") for w in block.words] or [b""]
-            for i in range(0, len(words), 20_000):
-                n = len(words[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array([_block_id(block)] * n, pa.int64()), pa.array(range(i, i + n), pa.int32()), pa.array(words[i : i + 20_000], pa.binary())], names=["block", "number", "word"])
+        for block in _blocks(batches, pattern, block_chars):
+            # In order of the words: neighbours share beginnings, which the shuffle's compression uses.
+            words = sorted((w.encode("utf-8", "surrogatepass"), i) for w, i in block.words.items()) or [(b"", 0)]
+            for lo in range(0, len(words), 20_000):
+                word, number = zip(*words[lo : lo + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([_block_id(block)] * len(word), pa.int64()), pa.array(number, pa.int32()), pa.array(word, pa.binary())], names=["block", "number", "word"])
 
     def encoded(batches):
         enc, last, last_ids = bpe.tiktoken_encoding(ranks, pattern), None, b""
+        kind = _id_type(ranks)
         for batch in batches:
             column = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
             n = len(column)
@@ -111,7 +131,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = 32_000_
             made = []
             for w in column.take(pa.array(starts)).to_pylist():
                 if w != last:  # the sort brings equal words together, across batches too
-                    last, last_ids = w, np.array(enc.encode_ordinary(w.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+                    last, last_ids = w, np.array(enc.encode_ordinary(w.decode("utf-8", "surrogatepass")), kind).tobytes()
                 made.append(last_ids)
             where = pa.array(np.cumsum(new) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()).take(where)], names=["block", "number", "ids"])
@@ -121,7 +141,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = 32_000_
     parts = F.xxhash64("word")
     words = words.repartition(parts).sortWithinPartitions("word")
     ids = words.mapInArrow(encoded, T.StructType([*fields, T.StructField("ids", T.BinaryType())]))
-    numbered = slim.mapInArrow(doc_rows, T.StructType([fields[0], T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    numbered = slim.mapInArrow(doc_rows, T.StructType([fields[0], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())]))
 
     out = [T.StructField("doc_id", id_type.dataType)]
     if digests_only:
@@ -137,27 +157,32 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = 32_000_
         if not len(order) or right.column("number").to_numpy()[order[-1]] != len(order) - 1:
             raise RuntimeError("a block of documents lacks words: the table was cut differently between two readings")
         lists = right.column("ids").take(pa.array(order)).to_pylist()
-        tokens = np.frombuffer(b"".join(lists), "<u4")
-        length = np.fromiter((len(x) // 4 for x in lists), np.int64, len(lists))
+        kind = np.dtype(_id_type(ranks))
+        tokens = np.frombuffer(b"".join(lists), kind).astype("<u4")
+        length = np.fromiter(map(len, lists), np.int64, len(lists)) // kind.itemsize
         start = np.cumsum(length) - length
         table = bpe.token_bytes(ranks)
-        n, a, b = [], [], []
-        for packed in left.column("packed").to_pylist():
+        n, a, b, doc_ids = [], [], [], []
+        for ids_, sizes, packed in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "packed")), strict=True):
             planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
-            at = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel() if len(planes) else np.empty(0, "<u4")
-            mine = length[at]
-            total = int(mine.sum())
-            shift = np.repeat(start[at] - (np.cumsum(mine) - mine), mine)
-            out_ids = tokens[shift + np.arange(total)] if total else np.empty(0, "<u4")
-            text = b"".join(map(table.__getitem__, out_ids.tolist()))
-            if digests_only:
-                n.append(total)
-                a.append(hashlib.sha256(out_ids.tobytes()).hexdigest())
-                b.append(hashlib.sha256(text).hexdigest())
-            else:
-                a.append(out_ids.astype("i8"))
-                b.append(text)
-        doc_ids = left.column("doc_id").cast(pa.int32() if isinstance(id_type.dataType, T.IntegerType) else pa.int64())
+            numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel() if len(planes) else np.empty(0, "<u4")
+            doc_ids += ids_
+            end = np.cumsum(sizes)
+            for lo, hi in zip(end - sizes, end, strict=True):
+                at = numbers[lo:hi]
+                mine = length[at]
+                total = int(mine.sum())
+                shift = np.repeat(start[at] - (np.cumsum(mine) - mine), mine)
+                out_ids = tokens[shift + np.arange(total)] if total else np.empty(0, "<u4")
+                text = b"".join(map(table.__getitem__, out_ids.tolist()))
+                if digests_only:
+                    n.append(total)
+                    a.append(hashlib.sha256(out_ids.tobytes()).hexdigest())
+                    b.append(hashlib.sha256(text).hexdigest())
+                else:
+                    a.append(out_ids.astype("i8"))
+                    b.append(text)
+        doc_ids = pa.array(doc_ids, pa.int32() if isinstance(id_type.dataType, T.IntegerType) else pa.int64())
         if digests_only:
             return pa.table([doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
         return pa.table([doc_ids, pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.binary())], names=schema.names)
