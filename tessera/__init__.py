@@ -1 +1,20 @@
-"""A relational engine for Spark: a small typed SQL dialect compiled to DataFrames."""
+"""A relational engine for Spark: a small typed SQL dialect compiled to lazy DataFrames."""
+
+from .api import Database, IsolationLevel, open  # noqa: A004
+from .errors import (
+    AmbiguousColumnError,
+    ConstraintViolation,
+    EngineError,
+    NestedTransactionError,
+    NotNullViolation,
+    ParseError,
+    TypeMismatchError,
+    UnknownAliasError,
+    UnknownColumnError,
+    UnknownTableError,
+)
+
+__all__ = [
+    "AmbiguousColumnError", "ConstraintViolation", "Database", "EngineError", "IsolationLevel", "NestedTransactionError", "NotNullViolation",
+    "ParseError", "TypeMismatchError", "UnknownAliasError", "UnknownColumnError", "UnknownTableError", "open",
+]
