@@ -1,6 +1,6 @@
 """Language spans: script ranges narrow the candidates, Viterbi over word scores labels the words.
 
-A word's score in a language is its log likelihood under hashed character n-grams of that language,
+A word's score in a language is its log likelihood under hashed character 1- to 3-grams of that language,
 relative to the best language and bounded below. Scripts are told by code-point ranges; a word can
 only be of the languages in which its script was seen. The best path of labels pays a penalty at
 every change of language.
@@ -9,7 +9,7 @@ every change of language.
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,10 +42,20 @@ def letters(chunk: str) -> str:
     return chunk.lower() if chunk.isalpha() else "".join(filter(str.isalpha, chunk)).lower()
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the word's character 1- to 4-grams, its ends marked."""
-    w = f"\x02{word}\x03"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % GRAMS for n in (1, 2, 3, 4) for i in range(n == 1, len(w) - n + 1 - (n == 1))]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words' character 1- to 3-grams with marked ends, number of buckets of each word)."""
+    joined = "".join(f"\x02{w}\x03" for w in words)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    two = code[:-1] * np.uint64(0x9E3779B1) + code[1:] * np.uint64(0x85EBCA77)
+    three = two[:-1] * np.uint64(0xC2B2AE3D) + code[2:] * np.uint64(0x27D4EB2F)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    mix = lambda h, n: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)) % np.uint64(GRAMS // 2) + np.uint64(n * GRAMS // 4)
+    out = np.stack([mix(code, 0), np.r_[mix(two, 1), np.zeros(1, np.uint64)], np.r_[mix(three, 2), np.zeros(2, np.uint64)]], axis=1).astype(np.int64)
+    keep = np.ones(out.shape, bool)  # no n-gram reaches over a word's end
+    keep[end - 1, 1:] = False
+    keep[end - 2, 2] = False
+    return out[keep], 3 * size - 3
 
 
 @dataclass
@@ -54,13 +64,16 @@ class Languages:
     logp: np.ndarray  # (GRAMS, languages)
     allowed: dict[str, np.ndarray]  # script -> which languages
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores relative to the best candidate's 0; all 0 where the script was never seen."""
-        allowed = self.allowed.get(script(word))
-        if allowed is None:
-            return np.zeros(len(self.names))
-        s = np.where(allowed, self.logp[grams(word)].sum(axis=0) / 4, -np.inf)
-        return np.maximum(s - s.max(), FLOOR)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of each word relative to its best candidate's 0; all 0 where the script was never seen."""
+        at, size = grams(words)
+        s = np.add.reduceat(self.logp[at], np.cumsum(size) - size, axis=0) / 3
+        kinds = [script(w) for w in words]
+        for kind in set(kinds):
+            rows = np.fromiter((k == kind for k in kinds), bool, len(kinds))
+            allowed = self.allowed.get(kind)
+            s[rows] = 0 if allowed is None else np.where(allowed, s[rows], -np.inf)
+        return np.maximum(s - s.max(axis=1, keepdims=True), FLOOR)
 
 
 def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (4, 2), seed: int = 8) -> Languages:
@@ -90,11 +103,16 @@ def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (
                     mine[chunk] = mine.get(chunk, 0) + 1
             for lang, mine in words.items():
                 total = grammed.setdefault(lang, np.zeros(GRAMS, np.int64))
+                said: dict[str, int] = {}
                 for chunk, n in mine.items():
                     if w := letters(chunk):
-                        np.add.at(total, grams(w), n)
-                        key = lang, script(w)
-                        scripts[key] = scripts.get(key, 0) + n
+                        said[w] = said.get(w, 0) + n
+                if said:
+                    at, size = grams(list(said))
+                    total += np.bincount(at, np.repeat(list(said.values()), size), GRAMS).astype(np.int64)
+                for w, n in said.items():
+                    key = lang, script(w)
+                    scripts[key] = scripts.get(key, 0) + n
         for lang, total in grammed.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.nulls(len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "script", "gram", "n"])
@@ -146,11 +164,24 @@ def path(scores: np.ndarray, penalty: float) -> np.ndarray:
 class Labeller:
     def __init__(self, model: Languages, penalty: float):
         self.model, self.penalty = model, penalty
+        self.made: dict[str, np.ndarray] = {}
         self.table = ChunkTable(len(model.names) + 1, self._chunk)
 
     def _chunk(self, chunk: str) -> np.ndarray:
-        w = letters(chunk)
-        return np.r_[len(w), self.model.word(w)] if w else np.zeros(len(self.model.names) + 1)
+        if chunk not in self.made:
+            self.prepare([[chunk]])
+        return self.made[chunk]
+
+    def prepare(self, lists: list[list[str]]) -> None:
+        """Score together all chunks that are not in the table yet."""
+        new = list(set().union(*lists).difference(self.table))
+        word = [letters(c) for c in new]
+        distinct = list(dict.fromkeys(filter(None, word)))
+        scores = self.model.words(distinct) if distinct else np.zeros((0, len(self.model.names)))
+        number = {w: i for i, w in enumerate(distinct)}
+        none = np.zeros(len(self.model.names) + 1)
+        rows = np.c_[[len(w) for w in distinct], scores] if distinct else scores
+        self.made = {c: rows[number[w]] if w else none for c, w in zip(new, word, strict=True)}
 
     def labels(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(label of each chunk, its letters, its scores)."""
@@ -158,8 +189,12 @@ class Labeller:
         rows = self.table.values[at]
         return path(rows[:, 1:], self.penalty), rows[:, 0], rows[:, 1:]
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        chunks = text.split() if text and self.model.names else []
+    def many(self, rows: list[str | None]) -> list[tuple[str, float]]:
+        lists = [s.split() if s and self.model.names else [] for s in rows]
+        self.prepare(lists)
+        return [self.one(chunks) for chunks in lists]
+
+    def one(self, chunks: list[str]) -> tuple[str, float]:
         if not chunks:
             return "und", 0.0
         label, weight, scores = self.labels(chunks)
@@ -183,6 +218,10 @@ class Labeller:
         return [{"start": found[a].start(), "end": found[b - 1].end(), "lang": self.model.names[label[a]]} for a, b in zip(edge, [*edge[1:], len(label)], strict=True)]
 
 
+#: The labeller of the last model, kept between a worker's tasks.
+_LABELLERS: dict[str, Labeller] = {}
+
+
 def identify(docs: DataFrame, model: Languages, penalty: float = 8.0, with_spans: bool = False) -> DataFrame:
     """docs with lang_pred, score (and spans: character ranges with their language).
 
@@ -194,12 +233,17 @@ def identify(docs: DataFrame, model: Languages, penalty: float = 8.0, with_spans
     extra = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
 
+    token = uuid.uuid4().hex
+
     def make():
-        label = Labeller(shared.value, penalty)
+        if token not in _LABELLERS:
+            _LABELLERS.clear()
+            _LABELLERS[token] = Labeller(shared.value, penalty)
+        label = _LABELLERS[token]
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = texts(batch)
-            out = [label(s) for s in rows]
+            out = [x for lo in range(0, len(rows), 128) for x in label.many(rows[lo : lo + 128])]
             more = {"lang_pred": pa.array([a for a, _ in out], pa.string()), "score": pa.array([b for _, b in out], pa.float64())}
             if with_spans:
                 more["spans"] = pa.array([label.spans(s) for s in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
