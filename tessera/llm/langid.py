@@ -138,14 +138,14 @@ def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (
 def path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Labels of the best path over rows of scores, with a penalty at each change; ties to fewer changes.
 
-    Where no other label gains more than the penalty over the overall best on any run of rows, no
-    change can pay and the constant path is the best; else the full recursion runs.
+    Where no other label gains more than half the penalty over the overall best on any run of rows, no
+    number of changes can pay and the constant path is the best; else the full recursion runs.
     """
     n, k = scores.shape
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     floor = np.minimum.accumulate(np.vstack([np.zeros(k), gain[:-1]]), axis=0)
-    if (gain - floor).max() <= penalty:
+    if (gain - floor).max() <= penalty / 2:
         return np.full(n, best)
     back = np.empty((n, k), np.int64)
     own, total = np.arange(k), scores[0].copy()
