@@ -135,32 +135,56 @@ def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (
     return Languages(names, logp, {k: v for k, v in allowed.items() if v.any()})
 
 
-def path(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Labels of the best path over rows of scores, with a penalty at each change; ties to fewer changes.
+def constant(scores: np.ndarray, penalty: float) -> int | None:
+    """The label of the best path if it is surely constant.
 
-    Where no other label gains more than half the penalty over the overall best on any run of rows, no
-    number of changes can pay and the constant path is the best; else the full recursion runs.
+    It is where no other label gains more than half the penalty over the overall best on any run of
+    rows: no number of changes can pay then.
     """
-    n, k = scores.shape
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-    floor = np.minimum.accumulate(np.vstack([np.zeros(k), gain[:-1]]), axis=0)
-    if (gain - floor).max() <= penalty / 2:
-        return np.full(n, best)
-    back = np.empty((n, k), np.int64)
-    own, total = np.arange(k), scores[0].copy()
-    for t in range(1, n):
-        top = int(total.argmax())
-        stay = total >= total[top] - penalty
-        back[t] = np.where(stay, own, top)
-        total = np.where(stay, total, total[top] - penalty) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = total.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    floor = np.minimum.accumulate(np.vstack([np.zeros(scores.shape[1]), gain[:-1]]), axis=0)
+    return best if (gain - floor).max() <= penalty / 2 else None
+
+
+def paths(many: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Labels of the best path of each text's rows of scores, with a penalty at each change.
+
+    The recursion steps through all texts that are not surely constant together, longest first.
+    """
+    sure = [constant(s, penalty) for s in many]
+    out = [np.full(len(s), 0 if c is None else c) for s, c in zip(many, sure, strict=True)]
+    open_ = sorted((i for i, c in enumerate(sure) if c is None), key=lambda i: -len(many[i]))
+    if not open_:
+        return out
+    size = np.array([len(many[i]) for i in open_])
+    start, scores = np.cumsum(size) - size, np.concatenate([many[i] for i in open_])
+    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts with more than t rows
+    own, row = np.arange(scores.shape[1]), np.arange(len(size))
+    total, back = scores[start].astype("f8"), []
+    for t in range(1, size[0]):
+        a = live[t]
+        now = total[:a]
+        top = now.argmax(axis=1)
+        changed = (now[row[:a], top] - penalty)[:, None]
+        stay = now >= changed
+        back.append(np.where(stay, own, top[:, None]).astype(np.int16))
+        total[:a] = np.where(stay, now, changed) + scores[start[:a] + t]
+    label, flat = total.argmax(axis=1), np.empty(len(scores), np.int64)
+    for t in range(size[0] - 1, 0, -1):
+        a = live[t]
+        flat[start[:a] + t] = label[:a]
+        label[:a] = back[t - 1][row[:a], label[:a]]
+    flat[start] = label
+    for i, lo, n in zip(open_, start, size, strict=True):
+        out[i] = flat[lo : lo + n]
     return out
 
 
+def path(scores: np.ndarray, penalty: float) -> np.ndarray:
+    return paths([scores], penalty)[0]
+
+
 class Labeller:
     def __init__(self, model: Languages, penalty: float):
         self.model, self.penalty = model, penalty
@@ -191,13 +215,19 @@ class Labeller:
 
     def many(self, rows: list[str | None]) -> list[tuple[str, float]]:
         lists = [s.split() if s and self.model.names else [] for s in rows]
+        if len(self.table) > self.table.limit:  # emptied here only, so that the rows below stay good
+            self.table.clear()
         self.prepare(lists)
-        return [self.one(chunks) for chunks in lists]
+        at = [np.fromiter(map(self.table.__getitem__, c), np.int64, len(c)) for c in lists]
+        found = [self.table.values[a] for a in at]
+        some = [i for i, c in enumerate(lists) if c]
+        labels = dict(zip(some, paths([found[i][:, 1:] for i in some], self.penalty), strict=True))
+        return [self.one(c, labels.get(i), found[i]) for i, c in enumerate(lists)]
 
-    def one(self, chunks: list[str]) -> tuple[str, float]:
+    def one(self, chunks: list[str], label: np.ndarray | None, rows: np.ndarray) -> tuple[str, float]:
         if not chunks:
             return "und", 0.0
-        label, weight, scores = self.labels(chunks)
+        weight, scores = rows[:, 0], rows[:, 1:]
         if not weight.any():
             return "und", 0.0
         letters_of = np.bincount(label, weight, len(self.model.names))
