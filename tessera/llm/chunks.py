@@ -10,7 +10,7 @@ import numpy as np
 class ChunkTable(dict):
     """chunk -> row of `values`; made(chunk) gives the row's numbers. Emptied between documents when full."""
 
-    def __init__(self, width: int, made: Callable[[str], object], limit: int = 400_000, dtype="f4"):
+    def __init__(self, width: int, made: Callable[[str], object] | None = None, limit: int = 400_000, dtype="f4"):
         super().__init__()
         self.made, self.limit = made, limit
         self.values = np.zeros((1024, width), dtype)
@@ -23,6 +23,14 @@ class ChunkTable(dict):
         self[chunk] = row
         return row
 
+    def fill(self, new: list[str], rows: np.ndarray) -> None:
+        """Add chunks that are not there yet."""
+        lo, hi = len(self), len(self) + len(new)
+        if hi > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros((max(hi, 2 * len(self.values)) - len(self.values), self.values.shape[1]), self.values.dtype)])
+        self.values[lo:hi] = rows
+        self.update(zip(new, range(lo, hi), strict=True))
+
     def rows(self, chunks: list[str]) -> np.ndarray:
         if len(self) > self.limit:
             self.clear()

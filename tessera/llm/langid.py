@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkTable
-from .common import appended, map_arrow, remainder, texts, with_columns
+from .common import appended, map_arrow, remainder, with_columns
 
 # First and last code points of letters of a script (Unicode blocks).
 SCRIPTS = (
@@ -37,6 +38,25 @@ def script(word: str) -> str:
     return next((name for name, lo, hi in SCRIPTS if lo <= at <= hi), "other")
 
 
+def kinds_of(code: np.ndarray) -> np.ndarray:
+    """Row of SCRIPTS of each code point; -1 for others."""
+    low, high = np.array([x[1] for x in SCRIPTS]), np.array([x[2] for x in SCRIPTS])
+    at = np.searchsorted(low, code, side="right") - 1
+    return np.where((at >= 0) & (code <= high[at]), at, -1)
+
+
+def split(rows: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of white-space chunks of each text, all chunks); a null text has none."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(pc.utf8_trim_whitespace(rows.cast(pa.large_string())), ""))
+    flat = lists.flatten()
+    size = np.asarray(pc.list_value_length(lists), np.int64)
+    if (size == 1).any():  # an empty text splits into one empty chunk
+        full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+        if not full.all():
+            size, flat = size - (np.add.reduceat(~full, np.cumsum(size) - size) > 0), flat.filter(pa.array(full))
+    return size, flat
+
+
 def letters(chunk: str) -> str:
     """The letters of a chunk in lower case."""
     return chunk.lower() if chunk.isalpha() else "".join(filter(str.isalpha, chunk)).lower()
@@ -68,10 +88,10 @@ class Languages:
         """Scores of each word relative to its best candidate's 0; all 0 where the script was never seen."""
         at, size = grams(words)
         s = np.add.reduceat(self.logp[at], np.cumsum(size) - size, axis=0) / 3
-        kinds = [script(w) for w in words]
-        for kind in set(kinds):
-            rows = np.fromiter((k == kind for k in kinds), bool, len(kinds))
-            allowed = self.allowed.get(kind)
+        kinds = kinds_of(np.fromiter((ord(w[0]) for w in words), np.int64, len(words)))
+        for kind in np.unique(kinds):
+            rows = kinds == kind
+            allowed = self.allowed.get(SCRIPTS[kind][0] if kind >= 0 else "other")
             s[rows] = 0 if allowed is None else np.where(allowed, s[rows], -np.inf)
         return np.maximum(s - s.max(axis=1, keepdims=True), FLOOR)
 
@@ -97,10 +117,10 @@ def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (
         scripts: dict[tuple[str, str], int] = {}
         for batch in batches:
             words: dict[str, dict[str, int]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                mine = words.setdefault(lang, {})
-                for chunk in text.split():
-                    mine[chunk] = mine.get(chunk, 0) + 1
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                _, flat = split(batch.column(1).filter(pc.equal(batch.column(0), lang)))
+                said = pc.value_counts(flat)
+                words[lang] = dict(zip(said.field(0).to_pylist(), said.field(1).to_pylist(), strict=True))
             for lang, mine in words.items():
                 total = grammed.setdefault(lang, np.zeros(GRAMS, np.int64))
                 said: dict[str, int] = {}
@@ -135,49 +155,68 @@ def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (
     return Languages(names, logp, {k: v for k, v in allowed.items() if v.any()})
 
 
-def constant(scores: np.ndarray, penalty: float) -> int | None:
-    """The label of the best path if it is surely constant.
-
-    It is where no other label gains more than half the penalty over the overall best on any run of
-    rows: no number of changes can pay then.
-    """
-    best = int(scores.sum(axis=0).argmax())
-    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-    floor = np.minimum.accumulate(np.vstack([np.zeros(scores.shape[1]), gain[:-1]]), axis=0)
-    return best if (gain - floor).max() <= penalty / 2 else None
-
-
 def paths(many: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """Labels of the best path of each text's rows of scores, with a penalty at each change.
 
-    The recursion steps through all texts that are not surely constant together, longest first.
+    Where one label leads in consecutive rows by more than twice the penalty in all, every best path
+    takes it there: two changes cost less than the run gains. Such rows cut the texts into segments
+    that do not depend on each other; the recursion steps through the rest of all texts together,
+    longest segment first. Rows of equal scores take the label of the next row that has a say.
     """
-    sure = [constant(s, penalty) for s in many]
-    out = [np.full(len(s), 0 if c is None else c) for s, c in zip(many, sure, strict=True)]
-    open_ = sorted((i for i, c in enumerate(sure) if c is None), key=lambda i: -len(many[i]))
-    if not open_:
+    if not many:
+        return []
+    size = np.fromiter(map(len, many), np.int64, len(many))
+    every, owner = np.concatenate(many), np.repeat(np.arange(len(many)), size)
+    says = np.flatnonzero(every.max(axis=1) > every.min(axis=1)) if len(every) else np.empty(0, np.int64)
+    out = np.zeros(len(every), np.int64)
+    if len(says):
+        label = _segments(every[says].astype("f8"), owner[says], penalty)
+        after = np.minimum(np.searchsorted(says, np.arange(len(every))), len(says) - 1)
+        before = np.maximum(np.searchsorted(says, np.arange(len(every)), side="right") - 1, 0)
+        out = np.where(owner[says[after]] == owner, label[after], np.where(owner[says[before]] == owner, label[before], 0))
+        out[says] = label
+    return np.split(out, np.cumsum(size)[:-1])
+
+
+def _segments(scores: np.ndarray, owner: np.ndarray, penalty: float) -> np.ndarray:
+    best, own = scores.argmax(axis=1), np.arange(scores.shape[1])
+    two = np.partition(scores, -2, axis=1)[:, -2:]
+    lead = two[:, 1] - two[:, 0]
+    opens = np.r_[True, owner[1:] != owner[:-1]]
+    run = np.flatnonzero(opens | np.r_[True, best[1:] != best[:-1]] | (lead == 0) | np.r_[False, lead[:-1] == 0])
+    which = np.repeat(np.arange(len(run)), np.diff(np.r_[run, len(best)]))
+    so_far, total = np.cumsum(lead), np.add.reduceat(lead, run)
+    so_far -= (so_far[run] - lead[run])[which]
+    fixed = (np.maximum(so_far, total[which] - so_far + lead) > 2 * penalty) & (lead > 0)
+    start = np.flatnonzero(opens | fixed)
+    size = np.diff(np.r_[start, len(best)])
+    bound = np.r_[fixed, False][start + size] & ~np.r_[opens, True][start + size]
+    end = np.where(bound, np.r_[best, 0][start + size], best[start])  # the label after the segment
+    low, high = np.minimum.reduceat(best, start), np.maximum.reduceat(best, start)
+    out = np.repeat(best[start], size)
+    todo = np.flatnonzero((low != high) | (end != low))
+    todo = todo[np.argsort(-size[todo], kind="stable")]
+    if not len(todo):
         return out
-    size = np.array([len(many[i]) for i in open_])
-    start, scores = np.cumsum(size) - size, np.concatenate([many[i] for i in open_])
-    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts with more than t rows
-    own, row = np.arange(scores.shape[1]), np.arange(len(size))
-    total, back = scores[start].astype("f8"), []
+    start, size, bound, end = start[todo], size[todo], bound[todo], end[todo]
+    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # segments with more than t rows
+    row, back = np.arange(len(size)), []
+    now = np.where(fixed[start][:, None] & (own != best[start][:, None]), -np.inf, scores[start])
     for t in range(1, size[0]):
         a = live[t]
-        now = total[:a]
-        top = now.argmax(axis=1)
-        changed = (now[row[:a], top] - penalty)[:, None]
-        stay = now >= changed
+        head = now[:a]
+        top = head.argmax(axis=1)
+        changed = (head[row[:a], top] - penalty)[:, None]
+        stay = head >= changed
         back.append(np.where(stay, own, top[:, None]).astype(np.int16))
-        total[:a] = np.where(stay, now, changed) + scores[start[:a] + t]
-    label, flat = total.argmax(axis=1), np.empty(len(scores), np.int64)
+        now[:a] = np.where(stay, head, changed) + scores[start[:a] + t]
+    top = now.argmax(axis=1)
+    label = np.where(bound & (now[row, end] >= now[row, top] - penalty), end, top)
     for t in range(size[0] - 1, 0, -1):
         a = live[t]
-        flat[start[:a] + t] = label[:a]
+        out[start[:a] + t] = label[:a]
         label[:a] = back[t - 1][row[:a], label[:a]]
-    flat[start] = label
-    for i, lo, n in zip(open_, start, size, strict=True):
-        out[i] = flat[lo : lo + n]
+    out[start] = label
     return out
 
 
@@ -188,52 +227,45 @@ def path(scores: np.ndarray, penalty: float) -> np.ndarray:
 class Labeller:
     def __init__(self, model: Languages, penalty: float):
         self.model, self.penalty = model, penalty
-        self.made: dict[str, np.ndarray] = {}
-        self.table = ChunkTable(len(model.names) + 1, self._chunk)
-
-    def _chunk(self, chunk: str) -> np.ndarray:
-        if chunk not in self.made:
-            self.prepare([[chunk]])
-        return self.made[chunk]
+        self.table = ChunkTable(len(model.names) + 1)
 
-    def prepare(self, lists: list[list[str]]) -> None:
-        """Score together all chunks that are not in the table yet."""
-        new = list(set().union(*lists).difference(self.table))
+    def rows(self, distinct: list[str]) -> np.ndarray:
+        """(letters, scores) of each chunk; chunks that are not in the table yet are scored together."""
+        if len(self.table) > self.table.limit:
+            self.table.clear()
+        new = [c for c in dict.fromkeys(distinct) if c not in self.table]
         word = [letters(c) for c in new]
-        distinct = list(dict.fromkeys(filter(None, word)))
-        scores = self.model.words(distinct) if distinct else np.zeros((0, len(self.model.names)))
-        number = {w: i for i, w in enumerate(distinct)}
-        none = np.zeros(len(self.model.names) + 1)
-        rows = np.c_[[len(w) for w in distinct], scores] if distinct else scores
-        self.made = {c: rows[number[w]] if w else none for c, w in zip(new, word, strict=True)}
+        known = list(dict.fromkeys(filter(None, word)))
+        values = np.zeros((len(known) + 1, len(self.model.names) + 1))  # the last is for chunks without letters
+        if known:
+            values[:-1] = np.c_[[len(w) for w in known], self.model.words(known)]
+        number = {w: i for i, w in enumerate(known)} | {"": len(known)}
+        self.table.fill(new, values[[number[w] for w in word]])
+        return self.table.values[np.fromiter(map(self.table.__getitem__, distinct), np.int64, len(distinct))]
 
     def labels(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(label of each chunk, its letters, its scores)."""
-        at = self.table.rows(chunks)  # may replace values
-        rows = self.table.values[at]
+        rows = self.rows(chunks)
         return path(rows[:, 1:], self.penalty), rows[:, 0], rows[:, 1:]
 
-    def many(self, rows: list[str | None]) -> list[tuple[str, float]]:
-        lists = [s.split() if s and self.model.names else [] for s in rows]
-        if len(self.table) > self.table.limit:  # emptied here only, so that the rows below stay good
-            self.table.clear()
-        self.prepare(lists)
-        at = [np.fromiter(map(self.table.__getitem__, c), np.int64, len(c)) for c in lists]
-        found = [self.table.values[a] for a in at]
-        some = [i for i, c in enumerate(lists) if c]
-        labels = dict(zip(some, paths([found[i][:, 1:] for i in some], self.penalty), strict=True))
-        return [self.one(c, labels.get(i), found[i]) for i, c in enumerate(lists)]
-
-    def one(self, chunks: list[str], label: np.ndarray | None, rows: np.ndarray) -> tuple[str, float]:
-        if not chunks:
-            return "und", 0.0
+    def many(self, rows: pa.Array) -> list[tuple[str, float]]:
+        if not self.model.names:
+            return [("und", 0.0)] * len(rows)
+        size, flat = split(rows)
+        coded = flat.dictionary_encode()
+        found = self.rows(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        each = np.split(found, np.cumsum(size)[:-1])
+        label = paths([x[:, 1:] for x in each], self.penalty)
+        return [self.one(a, b) for a, b in zip(label, each, strict=True)]
+
+    def one(self, label: np.ndarray, rows: np.ndarray) -> tuple[str, float]:
         weight, scores = rows[:, 0], rows[:, 1:]
         if not weight.any():
             return "und", 0.0
         letters_of = np.bincount(label, weight, len(self.model.names))
         top = int(letters_of.argmax())
         total = scores[label == top].sum(axis=0, dtype="f8")
-        sure = 1 / np.exp(np.clip((total - total[top]) / np.sqrt(max(1, len(chunks))), -50, 50)).sum()
+        sure = 1 / np.exp(np.clip((total - total[top]) / np.sqrt(len(rows)), -50, 50)).sum()
         return self.model.names[top], float(np.clip(letters_of[top] / weight.sum() * sure, 0, 1))
 
     def spans(self, text: str | None) -> list[dict]:
@@ -248,6 +280,14 @@ class Labeller:
         return [{"start": found[a].start(), "end": found[b - 1].end(), "lang": self.model.names[label[a]]} for a, b in zip(edge, [*edge[1:], len(label)], strict=True)]
 
 
+def parts(rows: pa.Array, most: int = 8 << 20):
+    """Slices of about `most` bytes of text, or of one text that is longer."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(rows), 0), np.int64))
+    at = np.flatnonzero(np.r_[True, size[1:] // most != size[:-1] // most]) if len(rows) else []
+    for lo, hi in zip(at, [*at[1:], len(rows)], strict=True):
+        yield rows.slice(lo, hi - lo)
+
+
 #: The labeller of the last model, kept between a worker's tasks.
 _LABELLERS: dict[str, Labeller] = {}
 
@@ -272,11 +312,11 @@ def identify(docs: DataFrame, model: Languages, penalty: float = 8.0, with_spans
         label = _LABELLERS[token]
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = texts(batch)
-            out = [x for lo in range(0, len(rows), 128) for x in label.many(rows[lo : lo + 128])]
+            rows = batch.column(batch.schema.get_field_index("text"))
+            out = [x for part in parts(rows) for x in label.many(part)]
             more = {"lang_pred": pa.array([a for a, _ in out], pa.string()), "score": pa.array([b for _, b in out], pa.float64())}
             if with_spans:
-                more["spans"] = pa.array([label.spans(s) for s in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
+                more["spans"] = pa.array([label.spans(s) for s in rows.to_pylist()], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
             return appended(batch, more)
 
         return fn
