@@ -280,7 +280,7 @@ class Labeller:
         return [{"start": found[a].start(), "end": found[b - 1].end(), "lang": self.model.names[label[a]]} for a, b in zip(edge, [*edge[1:], len(label)], strict=True)]
 
 
-def parts(rows: pa.Array, most: int = 8 << 20):
+def parts(rows: pa.Array, most: int = 2 << 20):
     """Slices of about `most` bytes of text, or of one text that is longer."""
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(rows), 0), np.int64))
     at = np.flatnonzero(np.r_[True, size[1:] // most != size[:-1] // most]) if len(rows) else []
