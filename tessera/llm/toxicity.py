@@ -197,6 +197,8 @@ def train(rows: list[tuple[frozenset[str], int]], counts: dict[int, int], most:
     p = ones / len(rows)
     z = {w: (k - seen[w] * p) / math.sqrt(seen[w] * p * (1 - p)) for w, k in toxic.items() if k >= least}
     names = sorted((w for w, v in z.items() if v >= z_least), key=lambda w: (-z[w], w))[:most]
+    if not names:  # nothing tells the classes apart: every text is of the larger one
+        return {}, 4.0 if 2 * ones > len(rows) else -4.0
     number = {w: i for i, w in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1))
     x[:, -1] = 1

@@ -171,6 +171,20 @@ def test_path_is_the_best():
         assert abs(value(got) - max(value(p) for p in np.ndindex(3, 3, 3, 3, 3, 3))) < 1e-9
 
 
+def test_paths_of_many_texts_are_the_best():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        many = [rng.normal(size=(n, 3)) * 6 * (rng.random((n, 1)) < 0.7) for n in (1, 5, 6, 4)]
+        for s, got in zip(many, langid.paths(many, 2.0), strict=True):
+            value = lambda p: s[np.arange(len(s)), list(p)].sum() - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: E731, B023
+            assert abs(value(got) - max(value(p) for p in np.ndindex(*[3] * len(s)))) < 1e-9
+
+
+def test_too_few_labels_call_nothing_toxic():
+    rows = [(frozenset({"house", "water"}), 0)] * 20 + [(frozenset({"house", "bad"}), 1)] * 2
+    assert toxicity.train(rows, {0: 20, 1: 2})[1] < 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert token_counts.token_counts(none, P.path("word_bpe_49k.json")).count() == 0
