@@ -2,10 +2,12 @@
 
 Every curve projects the unit vectors on a few random directions, spreads the projections evenly,
 shifts them at random and orders the vectors by their Hilbert position. Spark range-partitions all
-curves at once; a query looks through its own range and those next to it along each curve, at least
-`share` of the curve to each side, and keeps its best there. The curves' results merge and the best
-by cosine in double precision stay. Equal vectors are one entry of the index that carries its
-smallest ids, as many as a result can hold.
+curves at once, and ranges of a small table are cut into blocks; a query looks through its own block
+and those next to it along each curve, at least `share` of the curve and `rows_more` vectors to each
+side. The blocks' and curves' results merge and the best by cosine in double precision stay. A
+worker holds one block and lets its queries pass by, so memory does not grow with the number of
+queries. Equal vectors are one entry of the index that carries its smallest ids, as many as a result
+can hold.
 """
 
 from __future__ import annotations
@@ -39,12 +41,30 @@ def _keys(curves: int, dims: int, bits: int, seed: int):
     return keys
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id", vector: str = "embedding", curves: int = 16, dims: int = 4, bits: int = 15, share: float = 0.04, range_rows: int = 8192, seed: int = 5) -> DataFrame:
+def _best(asking: np.ndarray, others: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asking, row of others, score) of the `most` largest scores; ties go to the smaller low.
+
+    The last bits of a matrix product depend on its shape, so what comes near the border is scored
+    again pair by pair: equal pairs then tie in every block.
+    """
+    rough = asking @ others.T
+    keep = min(most, len(others))
+    floor = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1] - 1e-12
+    row, column = np.nonzero(rough >= floor[:, None])
+    score = np.concatenate([np.einsum("ij,ij->i", asking[row[i : i + 65536]], others[column[i : i + 65536]]) for i in range(0, len(row), 65536)])
+    order = np.lexsort((low[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < keep
+    return row[kept], column[kept], score[kept]
+
+
+def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_id", vector: str = "embedding", curves: int = 16, dims: int = 8, bits: int = 7, share: float = 0.03, rows_more: int = 128, range_rows: int = 8192, blocks: int = 128, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest; queries has the ident of rows of the table.
 
     Unusable vectors (null, zero, null or non-finite components) and rows without an id take no
     part, nor do vectors of another length than the query's. Rows repeated in id and vector count
-    once. Ties go to the smaller id. An empty table or no queries give an empty result.
+    once. Ties go to the smaller id. An empty table or no queries give an empty result. A curve has
+    a range for every range_rows vectors and at least `blocks` blocks.
     """
     rows = vectors.valid(table, ident, vector)
     low = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
@@ -53,6 +73,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_
     index = index.join(asked.select("embedding", F.lit(True).alias("asked")).distinct(), "embedding", "left")
     index = materialise(index.select(F.xxhash64("embedding", F.col("ids")[0]).alias("node"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "embedding"), "index")
     n = index.count()
+    kind = "<f4" if index.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
 
     def keyed(batches):
         keys = _keys(curves, dims, bits, seed)
@@ -63,65 +84,66 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_
             for at, matrix in vectors.by_length(batch.column(3)):
                 out[at] = keys(matrix)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, curves, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], vectors.pack(batch.column(3), kind), lists], names=["node", "low", "asked", "packed", "keys"])
 
-    schema = T.StructType([*index.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("low", T.LongType()), T.StructField("asked", T.BooleanType()), T.StructField("packed", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     ranges = max(12, -(-n // range_rows))
-    spread = index.mapInArrow(keyed, schema).select("node", "ids", "asked", "embedding", F.posexplode("keys").alias("curve", "key"))
-    spread = spread.repartitionByRange(ranges * curves, "curve", "key").withColumn("range", F.spark_partition_id())
-    spread = materialise(spread.select("curve", "range", "node", "ids", "asked", "embedding"), "ranges")
-    width = spread.agg(F.max("range")).first()[0]
-    reach = max(1, math.ceil(share * ((width or 0) + 1) / curves))
-    near = F.explode(F.sequence(F.col("range") - reach, F.col("range") + reach))
-    seek = spread.where("asked").select("curve", near.alias("range"), F.lit(0).alias("role"), "node", F.lit(None).cast("array<long>").alias("ids"), "embedding")
-    found = spread.select("curve", "range", F.lit(1).alias("role"), "node", "ids", "embedding").unionByName(seek)
-    found = found.repartition("curve", "range").sortWithinPartitions("curve", "range", "role")
+    parts = -(-blocks // ranges)
+    spread = index.select("node", F.col("ids")[0].alias("low"), "asked", "embedding").mapInArrow(keyed, schema).select("node", "low", "asked", "packed", F.posexplode("keys").alias("curve", "key"))
+    spread = spread.repartitionByRange(ranges * curves, "curve", "key", "node").sortWithinPartitions("curve", "key", "node")
+    place = {"range": F.spark_partition_id().cast("long"), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    spread = materialise(spread.withColumns(place).select("curve", "range", "at", "node", "low", "asked", "packed"), "ranges")
+    width = ((spread.agg(F.max("range")).first()[0] or 0) + 1) * parts
+    if parts > 1:  # only tables of fewer than blocks * range_rows vectors
+        sizes = spread.groupBy("range").agg((F.max("at") + 1).alias("size"))
+        spread = spread.join(sizes, "range").withColumn("block", F.col("range") * parts + F.floor(F.col("at") * parts / F.col("size")))
+    else:
+        spread = spread.withColumn("block", F.col("range"))
+    reach = max(1, math.ceil((share + rows_more / max(1, n)) * width / curves))
+    near = F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block")
+    seek = spread.where("asked").select("curve", near, F.lit(1).alias("role"), "node", F.lit(0).cast("long").alias("low"), "packed")
+    found = spread.select("curve", "block", F.lit(0).alias("role"), "node", "low", "packed").unionByName(seek)
+    found = found.repartition("curve", "block").sortWithinPartitions("curve", "block", "role")
 
     def run(batches):
-        names = ["node", "other", "ids", "score"]
-        at, asking, best = None, {}, {}
+        at, pool, out = None, {}, []
 
         def flush():
-            out = [(q, *hit) for size in best for q, hits in zip(asking[size][0], best[size], strict=True) for hit in hits]
-            if out:
-                q, score, other, ids = zip(*((a, b, c, d) for a, b, c, d in out), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(other, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(score, pa.float64())], names=names)
+            names = ["node", "other", "low", "score"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+            out.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            curve, rng, role, node = (batch.column(i).to_numpy() for i in range(4))
-            edge = np.flatnonzero(np.r_[True, (curve[1:] != curve[:-1]) | (rng[1:] != rng[:-1]) | (role[1:] != role[:-1])])
+            curve, block, role, node, low = (batch.column(i).to_numpy() for i in range(5))
+            edge = np.flatnonzero(np.r_[True, (curve[1:] != curve[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])])
             for a, b in zip(edge, np.r_[edge[1:], len(node)], strict=True):
-                if (curve[a], rng[a]) != at:
-                    yield from flush()
-                    at, asking, best = (curve[a], rng[a]), {}, {}
-                for row, matrix in vectors.by_length(batch.column(5).slice(a, b - a)):
-                    size, unit = matrix.shape[1], vectors.unit(matrix)
+                if (curve[a], block[a]) != at:
+                    at, pool = (curve[a], block[a]), {}
+                for row, matrix in vectors.by_packed(batch.column(5).slice(a, b - a), kind):
+                    unit, mine = vectors.unit(matrix), pool.setdefault(matrix.shape[1], [])
                     if role[a] == 0:
-                        ids, before = asking.get(size, ([], None))
-                        asking[size] = [*ids, *node[a:b][row].tolist()], unit if before is None else np.concatenate([before, unit])
-                    elif size in asking:
-                        ids = batch.column(4).slice(a, b - a).take(pa.array(row))
-                        nodes = node[a:b][row]
-                        for lo in range(0, len(asking[size][0]), 1024):
-                            score = asking[size][1][lo : lo + 1024] @ unit.T
-                            keep = min(k + 1, score.shape[1])
-                            top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                            floor = np.take_along_axis(score, top, axis=1).min(axis=1)
-                            hit_q, hit_c = np.nonzero(score >= floor[:, None])  # ties at the border stay
-                            lists = ids.take(pa.array(hit_c)).to_pylist()
-                            mine = best.setdefault(size, [])
-                            mine.extend([] for _ in range(len(asking[size][0]) - len(mine)))
-                            for q, s, c, x in zip((hit_q + lo).tolist(), score[hit_q, hit_c].tolist(), nodes[hit_c].tolist(), lists, strict=True):
-                                mine[q].append((s, c, x))
-                            for q in range(lo, min(lo + 1024, len(mine))):
-                                mine[q] = sorted(mine[q], key=lambda h: (-h[0], h[2][0]))[: k + 1]
-        yield from flush()
-
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("other", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("score", T.DoubleType())])
-    merged = found.drop("none").mapInArrow(run, schema).groupBy("node", "other").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+                        mine.append((unit, node[a:b][row], low[a:b][row]))
+                    elif mine:
+                        if len(mine) > 1:
+                            mine[:] = [tuple(map(np.concatenate, zip(*mine, strict=True)))]
+                        others, names, lows = mine[0]
+                        for lo in range(0, len(unit), 256):
+                            q, c, score = _best(unit[lo : lo + 256], others, lows, k + 1)
+                            out.append((node[a:b][row][lo : lo + 256][q], names[c], lows[c], score))
+                        if len(out) > 256:
+                            yield from flush()
+        if out:
+            yield from flush()
+
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("other", T.LongType()), T.StructField("low", T.LongType()), T.StructField("score", T.DoubleType())])
+    merged = found.mapInArrow(run, schema).groupBy("node", "other", "low").agg(F.max("score").alias("score"))
+    # The k + 1 best entries hold the k best rows besides the query's own, ties included.
+    first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "low"))
+    merged = merged.withColumn("first", first).where(F.col("first") <= k + 1)
     own = index.where("asked").select("node", "embedding").join(asked.distinct(), "embedding").select("node", F.col("vec_id").alias("query_id"))
-    listed = own.join(merged, "node").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    ids = index.select(F.col("node").alias("other"), "ids")
+    listed = own.join(merged, "node").join(ids, "other").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return listed.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -30,6 +30,24 @@ def by_length(column: pa.Array):
         yield at, values[offsets[at][:, None] + np.arange(n)]
 
 
+def pack(column: pa.Array, kind: str) -> pa.Array:
+    """A list column without nulls as the bytes of its numbers."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(kind)
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def by_packed(column: pa.Array, kind: str):
+    """(row numbers, matrix) for each vector length of a column made by pack."""
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data, size = np.frombuffer(data, np.uint8), np.diff(offsets)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        rows = data[offsets[0] : offsets[-1]].reshape(-1, n) if len(at) == len(size) else data[offsets[at][:, None] + np.arange(n)]
+        yield at, rows.view(kind).astype("f8")
+
+
 def unit(matrix: np.ndarray) -> np.ndarray:
     """Rows of length one in double precision; scaled first so that no square overflows or vanishes."""
     matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)

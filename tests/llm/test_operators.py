@@ -138,6 +138,23 @@ def test_embeddings(spark):
     assert hits >= 0.9 * 5 * len(asked)
 
 
+def test_neighbours_of_ties_and_lengths(spark):
+    """Ties go to the smaller id, vectors of another length take no part, doubles keep their precision."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 6))
+    rows = [*base, *[2 * base[0]] * 4, *[base[0] * (2.0**i) for i in range(-4, 0)], *rng.normal(size=(20, 3))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    table = table.unionByName(table.where("vec_id = 7"))
+    found = ann_hilbert.nearest(table, table.where("vec_id in (0, 7, 310)"), share=1.0, range_rows=64).collect()
+    for query in (0, 7, 310):
+        alike = [i for i in range(len(rows)) if len(rows[i]) == len(rows[query]) and i != query]
+        cosine = {i: rows[i] @ rows[query] / np.linalg.norm(rows[i]) / np.linalg.norm(rows[query]) for i in alike}
+        want = sorted(alike, key=lambda i: (-round(cosine[i], 12), i))[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == query)
+        assert [m[1] for m in mine] == want and all(abs(m[2] - cosine[m[1]]) < 1e-12 for m in mine)
+
+
 def test_classifiers_and_language(spark, docs):
     rng = random.Random(5)
     words = {"en": ["the", "water", "thing", "house", "with"], "de": ["der", "wasser", "schule", "haus", "nicht"]}
