@@ -94,9 +94,9 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_
     place = {"range": F.spark_partition_id().cast("long"), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
     spread = materialise(spread.withColumns(place).select("curve", "range", "at", "node", "low", "asked", "packed"), "ranges")
     width = ((spread.agg(F.max("range")).first()[0] or 0) + 1) * parts
-    if parts > 1:  # only tables of fewer than blocks * range_rows vectors
+    if parts > 1:  # then there are fewer than blocks ranges a curve, which bounds what is broadcast
         sizes = spread.groupBy("range").agg((F.max("at") + 1).alias("size"))
-        spread = spread.join(sizes, "range").withColumn("block", F.col("range") * parts + F.floor(F.col("at") * parts / F.col("size")))
+        spread = spread.join(F.broadcast(sizes), "range").withColumn("block", F.col("range") * parts + F.floor(F.col("at") * parts / F.col("size")))
     else:
         spread = spread.withColumn("block", F.col("range"))
     reach = max(1, math.ceil((share + rows_more / max(1, n)) * width / curves))
