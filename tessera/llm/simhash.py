@@ -26,19 +26,25 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _CLEAN = bytes(_ONE_SPACE[b] if b in _SPACES else _LOWER[b] for b in range(256))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hashes of the word shingles, repeats included; one of all the words if there are no more than width."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split()
     if not words:
-        return 0
+        return np.empty(0, ">u8")
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], ">u8")
-    else:
-        line, digest = b" ".join(words), xxhash.xxh64_intdigest
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(length + 1) - 1
-        start = (end - length)[: len(words) - width + 1].tolist()
-        hashes = np.array([digest(line[a:b], 42) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], ">u8")
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], ">u8")
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(length + 1) - 1
+    start = (end - length)[: len(words) - width + 1].tolist()
+    return np.array([digest(line[a:b], 42) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], ">u8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash of the word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
