@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import appended, map_arrow, texts, with_columns
@@ -68,18 +69,48 @@ class CharModel:
         return out
 
 
-def char_model(words: dict[str, int]) -> CharModel:
-    one, two, three = Counter(), Counter(), Counter()
+def trigrams(words: dict[str, int]) -> Counter:
+    """How often each three letters follow one another, with two spaces before a word and one after it."""
+    three = Counter()
     for word, n in words.items():
         w = f"  {word} "
         for i in range(2, len(w)):
-            one[w[i]] += n
-            two[w[i - 1 : i + 1]] += n
             three[w[i - 2 : i + 1]] += n
-    two["  "] = sum(words.values())
+    return three
+
+
+def char_model(three: dict[str, int]) -> CharModel:
+    one, two = Counter(), Counter()
+    for key, n in three.items():
+        one[key[2]] += n
+        two[key[1:]] += n
+        if key[:2] == "  ":
+            two["  "] += n
     return CharModel(dict(one), dict(two), dict(three), sum(one.values()))
 
 
+def corpus_trigrams(docs: DataFrame, held: int = 200_000) -> dict[str, int]:
+    """Trigrams of the words of all documents, a word once a document: summed in each task, then by trigram.
+
+    A task holds at most about `held` distinct words at a time; only distinct trigrams reach the driver.
+    """
+
+    def run(batches):
+        words, three = Counter(), Counter()
+        for batch in batches:
+            for s in texts(batch):
+                words.update(set(_LETTERS.findall(plain(s or ""))))
+                if len(words) >= held:
+                    three.update(trigrams(words))
+                    words.clear()
+        three.update(trigrams(words))
+        yield pa.RecordBatch.from_arrays([pa.array(three.keys(), pa.string()), pa.array(three.values(), pa.int64())], names=["gram", "n"])
+
+    counts = docs.select("text").mapInArrow(run, T.StructType([T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())]))
+    got = counts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return dict(sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)))
+
+
 def restore(stretch: str, model: CharModel) -> list[str]:
     """The likeliest words that the stretch stands for."""
     s = stretch.lower()
@@ -226,7 +257,10 @@ def train(rows: list[tuple[frozenset[str], int]], counts: dict[int, int], most:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Toxic:
-    """Fitted on at most per_class labelled rows of each class; their distinct words reach the driver."""
+    """Weights fitted on at most per_class labelled rows of each class, letters counted over all documents.
+
+    The distinct words of the labelled rows and the corpus's trigrams reach the driver.
+    """
     sample, counts = fitting_sample(docs.select("doc_id", "text"), labels, "toxic", per_class)
 
     def make():
@@ -238,11 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Toxic:
 
     got = map_arrow(sample.select("text", "label"), make, T.StructType([T.StructField("words", T.StringType()), T.StructField("label", T.IntegerType())])).toArrow()
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    said = Counter()
-    for words, _ in rows:
-        said.update(words.split())
     weights, bias = train([(frozenset(w.split()), y) for w, y in rows], counts)
-    return Toxic(char_model(said), weights, bias)
+    return Toxic(char_model(corpus_trigrams(docs)), weights, bias)
 
 
 def score(docs: DataFrame, toxic: Toxic, cut: float = 0.5) -> DataFrame:

@@ -179,6 +179,27 @@ def test_classifiers_and_language(spark, docs):
     assert quality_fm.score(docs, quality_fm.fit(docs, marks.limit(0))).count() == docs.count()
 
 
+def test_letters_are_counted_over_all_documents(spark):
+    """Unlabelled documents and labelled ones beyond the cap steer the decoding."""
+    ship(spark)
+    rows = [(i, "stone Stone" if i < 20 else "b0und bound" if i < 40 else "quartz") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(table, marks, per_class=2).model
+    said = {}
+    for _, text in rows:
+        for w in set(re.findall("[a-z]+", text.lower())):
+            said[w] = said.get(w, 0) + 1
+    assert said == {"stone": 20, "b": 20, "und": 20, "bound": 20, "quartz": 20}
+    want = {}
+    for w, n in said.items():
+        for i in range(len(w) + 1):
+            gram = f"  {w} "[i : i + 3]
+            want[gram] = want.get(gram, 0) + n
+    assert model.three == want and model.two["  "] == 100 and model.two["qu"] == model.one["q"] == 20 and model.total == sum(want.values())
+    assert toxicity.restore("qu@rtz", model) == ["quartz"]
+
+
 def test_path_is_the_best():
     rng = np.random.default_rng(2)
     for _ in range(200):
