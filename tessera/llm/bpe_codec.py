@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ class _Block:
         self.pattern, self.words, self.chunks, self.n_chars = pattern, {}, {}, 0
         self.ids, self.held, self.held_bytes, self.parts = [], [], 0, []
         self.mark = hashlib.blake2b(digest_size=8)
+        self.place = (0, 0)
 
     def numbers(self, text: str) -> bytes:
         words = self.words
@@ -70,15 +72,19 @@ class _Block:
 
 
 def _blocks(batches, pattern: str, block_chars: int):
-    """The blocks of a task; each is bounded by block_chars and one document."""
+    """The blocks of a task; each is bounded by block_chars and one document, and knows its task and its turn there."""
+    task, turn = TaskContext.get().partitionId(), 0
     block = _Block(pattern)
+    block.place = task, turn
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
             block.add(doc_id, text)
             if block.n_chars >= block_chars:
                 block.close_part()
                 yield block
+                turn += 1
                 block = _Block(pattern)
+                block.place = task, turn
     block.close_part()
     if block.parts:
         yield block
@@ -90,8 +96,16 @@ def _id_type(ranks: str) -> str:
 
 
 def _block_id(block: _Block) -> int:
-    """From the block's content: if two readings cut the table differently, the blocks don't match and the job fails."""
-    return int.from_bytes(block.mark.digest(), "little", signed=True)
+    """From the block's content, words included, and its place, so that equal blocks stay apart.
+
+    If two readings cut the table differently, the blocks don't match and the job fails.
+    """
+    mark = block.mark.copy()
+    mark.update(repr(block.place).encode())
+    for word in block.words:
+        data = word.encode("utf-8", "surrogatepass")
+        mark.update(len(data).to_bytes(4, "little") + data)
+    return int.from_bytes(mark.digest(), "little", signed=True)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = 32_000_000, digests_only: bool = False) -> DataFrame:
@@ -105,16 +119,18 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = 32_000_
 
     def doc_rows(batches):
         for block in _blocks(batches, pattern, block_chars):
+            name = _block_id(block)
             for ids, sizes, packed in block.parts:
-                yield pa.RecordBatch.from_arrays([pa.array([_block_id(block)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "ids", "sizes", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "ids", "sizes", "packed"])
 
     def word_rows(batches):
         for block in _blocks(batches, pattern, block_chars):
             # In order of the words: neighbours share beginnings, which the shuffle's compression uses.
             words = sorted((w.encode("utf-8", "surrogatepass"), i) for w, i in block.words.items()) or [(b"", 0)]
+            name = _block_id(block)
             for lo in range(0, len(words), 20_000):
                 word, number = zip(*words[lo : lo + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([_block_id(block)] * len(word), pa.int64()), pa.array(number, pa.int32()), pa.array(word, pa.binary())], names=["block", "number", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(word), pa.int64()), pa.array(number, pa.int32()), pa.array(word, pa.binary())], names=["block", "number", "word"])
 
     def encoded(batches):
         enc, last, last_ids = bpe.tiktoken_encoding(ranks, pattern), None, b""

@@ -41,6 +41,19 @@ def test_codec(docs):
     assert digests.decoded_sha256 == hashlib.sha256(ODD[8].encode()).hexdigest()
 
 
+def test_codec_of_equal_blocks(spark, docs):
+    """Repeated tasks, and tasks whose rows differ only in the words."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = bpe.tiktoken_encoding(path, P.PATTERN)
+    alike = [spark.createDataFrame([(None, s)], "doc_id long, text string").coalesce(1) for s in ("a b", "c d", "c d")]
+    once = docs.select("doc_id", "text")
+    for table in (once.union(once), alike[0].union(alike[1]).union(alike[2])):
+        got = bpe_codec.encode(table, path, P.PATTERN, block_chars=100).collect()
+        key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or "")
+        want = sorted((key(r)[0], enc.encode_ordinary(key(r)[1]), key(r)[1].encode()) for r in table.collect())
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids, bytes(r.decoded)) for r in got) == want
+
+
 def test_packing(docs):
     path = P.path("byte_bpe_50k.json")
     tok = bpe.library(path)
