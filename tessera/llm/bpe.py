@@ -21,6 +21,11 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r"
 FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Characters whose class could differ between Unicode versions or engines; such texts take the general way.
 UNSAFE = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
+#: The byte-level pre-tokenizer that the fast path stands for, and the pattern it uses.
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks of more characters are encoded anew each time, so that a cache is bounded in bytes.
+LONGEST = 64
 _ODD_SPACE = re.compile(r" [ \n\r\t]|[\n\r\t] ")
 
 
@@ -57,9 +62,11 @@ def token_bytes(path: str) -> list[bytes]:
 
 @lru_cache(maxsize=2)
 def json_encoding(path: str, pattern: str):
-    """A merge engine for a byte-level JSON vocabulary, or None where ranks can't stand for its merges.
+    """A merge engine for a byte-level JSON vocabulary, or None where ranks and the pattern can't stand for it.
 
-    They can if the i-th merge makes the token with the i-th id after the 256 bytes.
+    They can if the i-th merge makes the token with the i-th id after the 256 bytes, words carry no
+    prefix or suffix, and the text is split as byte-level vocabularies do by default: by the public
+    pattern and without a space put before it.
     """
     import tiktoken
 
@@ -67,7 +74,11 @@ def json_encoding(path: str, pattern: str):
         spec = json.load(f)
     model, alphabet = spec["model"], byte_alphabet()
     vocab = model["vocab"]
-    plain = spec["normalizer"] is None and not model.get("ignore_merges") and not model.get("byte_fallback") and model.get("dropout") is None
+    plain = (
+        spec.get("normalizer") is None and model.get("type", "BPE") == "BPE" and model.get("dropout") is None
+        and not any(model.get(k) for k in ("ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        and {k: v for k, v in (spec.get("pre_tokenizer") or {}).items() if k != "trim_offsets"} == PLAIN_SPLIT and pattern == PLAIN_PATTERN
+    )
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     special = {t["content"] for t in spec["added_tokens"]}
     if not plain or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
@@ -106,16 +117,18 @@ def split(text: str, pattern: str) -> list[str]:
 
 
 class ChunkIds(dict):
-    """chunk -> its ids after a space, as little-endian unsigned 32-bit bytes; emptied when full."""
+    """chunk -> its ids after a space, as little-endian unsigned 32-bit bytes; emptied when full, long chunks are not kept."""
 
     def __init__(self, encode_ids, limit: int):
         super().__init__()
         self.encode_ids, self.limit = encode_ids, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = out = self.encode_ids(" " + chunk)
+        out = self.encode_ids(" " + chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[chunk] = out
         return out
 
 

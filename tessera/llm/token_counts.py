@@ -4,6 +4,11 @@ Tier one is a compact table of frequent pre-tokens and their token lengths: the
 whole words, which are what its merges found frequent. Its size is the vocabulary's and it is
 broadcast. Tier two is each worker's cache of white-space chunks; what neither holds is encoded by
 the library. No pre-token is ever shuffled and the documents pass once, without exchange.
+
+No match of the vocabulary's split holds white space and no normalisation reaches over a space, so
+chunks are counted one by one; a chunk with a character outside the Latin blocks, or one whose lower
+case is outside them, goes to the library as it stands, and a text with a special token's string
+goes there whole.
 """
 
 from __future__ import annotations
@@ -19,6 +24,10 @@ from .common import appended, map_arrow, texts, with_columns
 
 # The vocabulary's own split, over the characters bpe.UNSAFE lets through, after lower-casing.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{bpe._L}]+|[{bpe._N}]|[^{bpe._S}{bpe._L}{bpe._N}]+")
+#: Characters of the safe blocks whose lower case is not in them: the pattern above would take those for signs.
+_LEAVING = "".join(c for c in map(chr, range(0x250)) if not bpe.UNSAFE.search(c) and bpe.UNSAFE.search(c.lower()))
+UNSAFE = re.compile(f"{bpe.UNSAFE.pattern}|[{_LEAVING}]")
+_CHUNKS = re.compile(r"[^ \t\n\r]+")
 _WORD_END = "</w>"
 
 
@@ -37,7 +46,7 @@ def frequent_lengths(path: str) -> dict[str, int]:
 
 
 class Lengths(dict):
-    """White-space chunk -> number of tokens; emptied when full."""
+    """White-space chunk -> number of tokens; emptied when full, long chunks are not kept."""
 
     def __init__(self, path: str, frequent: dict[str, int], limit: int):
         super().__init__()
@@ -47,20 +56,26 @@ class Lengths(dict):
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        n = 0
-        for piece in _PIECES.findall(chunk):
-            known = self.frequent.get(piece)
-            n += self.encoded(piece) if known is None else known
-        self[chunk] = n
+        if UNSAFE.search(chunk):
+            n = self.encoded(chunk)
+        else:
+            n = 0
+            for piece in _PIECES.findall(chunk.lower()):
+                known = self.frequent.get(piece)
+                n += self.encoded(piece) if known is None else known
+        if len(chunk) <= bpe.LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[chunk] = n
         return n
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if bpe.UNSAFE.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self.encoded(text)
+        if UNSAFE.search(text):
+            return sum(map(self.__getitem__, _CHUNKS.findall(text)))
         return sum(map(self.__getitem__, text.lower().split()))
 
 
