@@ -101,51 +101,59 @@ def deal(sizes: Column, room: Column, salt: Column) -> Column:
     return F.aggregate(F.transform(sizes, lambda s, i: F.struct(s.alias("size"), i.alias("at"))), first, bucket, lambda x: x["rows"])
 
 
-def communication_matrix(sizes: DataFrame, n_rows: int, shards: int, seed: int, width: int) -> DataFrame:
+def communication_matrix(sizes: DataFrame, buckets: int, n_rows: int, shards: int, seed: int, width: int) -> DataFrame:
     """sizes(bucket, n) -> (bucket, cuts): running sums over shards of the rows that each bucket sends.
 
-    Drawn in two levels, groups of `width` buckets first and then the buckets of each group, so that
-    no task holds more than `width` buckets.
+    Drawn down a tree: the buckets stand in groups of `width`, these in groups of `width` again, and
+    so on up to one; each group deals its share of every shard to its members. No row of any level
+    holds more than `width` members, whatever the number of buckets.
     """
     even = [n_rows // shards + (s < n_rows % shards) for s in range(shards)]
-    groups = sizes.groupBy(F.floor(F.col("bucket") / width).alias("group")).agg(
-        F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("members"))
-    top = groups.select("group", "size").agg(F.sort_array(F.collect_list(F.struct("group", "size"))).alias("g"))
+    levels, nodes = [sizes.select(F.col("bucket").alias("node"), "n")], buckets
+    members = F.sort_array(F.collect_list(F.struct("node", "n"))).alias("members")
+    groups = []
+    while nodes > 1 or not groups:
+        up = F.floor(F.col("node") / width).alias("group")
+        groups.append(materialise(levels[-1].groupBy(up).agg(F.sum("n").alias("n"), members), "shard-groups"))
+        levels.append(groups[-1].select(F.col("group").alias("node"), "n"))
+        nodes = -(-nodes // width)
     room = F.array(*[F.lit(x).cast("bigint") for x in even])
-    dealt = top.select(F.arrays_zip(F.col("g.group").alias("group"), deal(F.col("g.size"), room, F.lit(seed)).alias("room")).alias("z"))
-    dealt = dealt.select(F.explode("z").alias("z")).select("z.group", "z.room")
-    rows = groups.join(dealt, "group").select(
-        "members", deal(F.col("members.n"), F.col("room"), F.xxhash64(F.lit(seed), F.col("group"))).alias("rows"))
-    pair = rows.select(F.explode(F.arrays_zip(F.col("members.bucket").alias("bucket"), F.col("rows").alias("row"))).alias("z"))
-    running = F.aggregate("z.row", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
-    return pair.select("z.bucket", running.alias("cuts"))
+    dealt = groups[-1].select("group", room.alias("room"))
+    for depth in range(len(groups) - 1, -1, -1):
+        rows = groups[depth].join(dealt, "group").select(
+            "members", deal(F.col("members.n"), F.col("room"), F.xxhash64(F.lit(seed), F.lit(depth), F.col("group"))).alias("rows"))
+        pair = rows.select(F.explode(F.arrays_zip(F.col("members.node").alias("node"), F.col("rows").alias("room"))).alias("z"))
+        dealt = pair.select(F.col("z.node").alias("group"), "z.room")
+    running = F.aggregate("room", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+    return dealt.select(F.col("group").alias("bucket"), running.alias("cuts"))
 
 
 def uniform_shards(docs: DataFrame, shards: int = 8, seed: int = 20_417, rows_per_bucket: int = 50_000, group_width: int = 256) -> DataFrame:
     """Every row's shard and slot: a uniform shuffle with shard sizes at most one apart.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard. A null text has size 1 and the
-    checksum of no bytes; a null doc_id is dealt like any other; rows equal in id and text are dealt
-    separately (which of them gets which slot does not show); an empty table gives an empty result.
-    Other input columns are not read.
+    checksum of no bytes; a null doc_id is dealt like any other. Every row gets a number that is
+    written with it, and the shuffle goes by that number: rows equal in id and text are spread over
+    buckets, shards and slots like different ones. An empty table gives an empty result. Other input
+    columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = materialise(slim, "shard-rows")
+    rows = materialise(slim.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     n = rows.count()
-    buckets, width = max(32, -(-n // rows_per_bucket)), group_width
-    key = lambda k: F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size")
+    buckets = max(32, -(-n // rows_per_bucket))
+    key = lambda k: F.xxhash64(F.lit(seed + k), "row")
     rows = rows.withColumn("bucket", F.pmod(key(1), F.lit(buckets))).withColumn("k2", key(2)).withColumn("k3", key(3))
-    matrix = communication_matrix(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), n, shards, seed, width)
-    local = Window.partitionBy("bucket").orderBy("k2", "doc_id")
+    matrix = communication_matrix(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), buckets, n, shards, seed, group_width)
+    local = Window.partitionBy("bucket").orderBy("k2", "row")
     sent = (
         rows.withColumn("i", F.row_number().over(local)).join(matrix, "bucket")
         .withColumn("shard", F.aggregate("cuts", F.lit(0), lambda acc, c: acc + (c < F.col("i")).cast("int")))
         .withColumn("part", F.pmod(F.col("k3"), F.lit(buckets)))
-        .select("doc_id", "size", "text_crc32", "shard", "part", "k3")
+        .select("doc_id", "size", "text_crc32", "shard", "part", "k3", "row")
     )
     sent = materialise(sent, "shard-sent")
-    within = Window.partitionBy("shard", "part").orderBy("k3", "doc_id")
+    within = Window.partitionBy("shard", "part").orderBy("k3", "row")
     starts = sent.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "start", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n"))
     return (
