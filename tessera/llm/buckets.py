@@ -15,14 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 
 def dealt(rows: DataFrame, light: DataFrame, ident: str, block: int) -> DataFrame:
     """rows(bucket, ident, ...) -> the same with group, side: one copy for each group a row belongs to.
 
-    light has the same (bucket, ident) and serves for counting.
+    light has the same (bucket, ident) and serves for counting. The hot buckets are written first, so
+    that Spark knows their size when it chooses the join: few are broadcast, and rows are not
+    exchanged for them. A bucket of n rows is copied n / block times: the work on distinct rows that
+    all share one bucket grows with their square, in parallel.
     """
     hot = light.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    hot = hot.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    hot = materialise(hot.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot")
     rows = rows.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("side", F.pmod(F.xxhash64(F.lit(7), ident), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

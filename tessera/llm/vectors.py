@@ -36,7 +36,7 @@ def pack(column: pa.Array, kind: str) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
-def by_packed(column: pa.Array, kind: str):
+def by_packed(column: pa.Array, kind: str, to: str = "f8"):
     """(row numbers, matrix) for each vector length of a column made by pack."""
     _, offsets, data = column.buffers()
     wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
@@ -45,7 +45,7 @@ def by_packed(column: pa.Array, kind: str):
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
         rows = data[offsets[0] : offsets[-1]].reshape(-1, n) if len(at) == len(size) else data[offsets[at][:, None] + np.arange(n)]
-        yield at, rows.view(kind).astype("f8")
+        yield at, rows.view(kind).astype(to)
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
