@@ -96,15 +96,19 @@ class Languages:
         return np.maximum(s - s.max(axis=1, keepdims=True), FLOOR)
 
 
-def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (4, 2), seed: int = 8) -> Languages:
+def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (4, 2), languages: int = 512, script_share: float = 0.01, seed: int = 8) -> Languages:
     """Learned from about per_language documents of each lang (by a hash of the id), whole texts.
 
     Only rows with an id, a text and a lang whose crc32(doc_id as text) mod held_out[0] is not
-    held_out[1]. What reaches the driver is a table of GRAMS counts a language.
+    held_out[1]. The `languages` langs with the most such rows are learned (ties by name), so that a
+    column full of stray values cannot exhaust the driver, which gets a table of GRAMS counts for
+    each. A language is a candidate for the words of a script if more than script_share of its own
+    words are in that script: below, foreign names and quotations would make every language a
+    candidate everywhere. A text in a script that no language uses so much can be any language.
     """
     rest = remainder(F.col("doc_id"), held_out[0])
     known = docs.where(F.col("lang").isNotNull() & (rest >= 0) & (rest != held_out[1])).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     names = sorted(counts)
     if not names:
         return Languages([], np.zeros((GRAMS, 0)), {})
@@ -151,7 +155,7 @@ def fit(docs: DataFrame, per_language: int = 2500, held_out: tuple[int, int] = (
             by_script.setdefault(kind, np.zeros(len(names)))[number[lang]] = n
     logp = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * GRAMS))
     total = sum(by_script.values(), np.zeros(len(names)))
-    allowed = {k: v > 0.01 * np.maximum(total, 1) for k, v in by_script.items()}
+    allowed = {k: v > script_share * np.maximum(total, 1) for k, v in by_script.items()}
     return Languages(names, logp, {k: v for k, v in allowed.items() if v.any()})
 
 
@@ -231,8 +235,7 @@ class Labeller:
 
     def rows(self, distinct: list[str]) -> np.ndarray:
         """(letters, scores) of each chunk; chunks that are not in the table yet are scored together."""
-        if len(self.table) > self.table.limit:
-            self.table.clear()
+        self.table.make_room()
         new = [c for c in dict.fromkeys(distinct) if c not in self.table]
         word = [letters(c) for c in new]
         known = list(dict.fromkeys(filter(None, word)))

@@ -59,8 +59,8 @@ class Features:
         lines = [x for x in text.split("\n") if x]
         stats[1:13] = (total[1] / n, total[2] / size, total[3] / size, total[4] / size, total[5] / size, total[6] / n, len(distinct) / n,
                        count.max() / n, 1 - len(set(lines)) / len(lines) if lines else 0, np.log1p(n / max(1, len(lines))), total[7] / n, total[8] / n)
-        bucket = values[:, 0].astype(np.int64)
-        weight = 1 + np.log(count)
+        bucket, at = np.unique(values[:, 0].astype(np.int64), return_inverse=True)
+        weight = 1 + np.log(np.bincount(at, count))
         return np.r_[bucket, WORDS : WORDS + len(STATS)], np.r_[weight / np.sqrt(weight @ weight), stats].astype("f4")
 
 
@@ -88,6 +88,22 @@ def logistic(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
+def gradient(m: Machine, part: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(features, d/dw, d/dv, d/dw0) of the mean weighted logistic loss of rows with standard statistics."""
+    i, x = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
+    doc = np.repeat(np.arange(len(part)), [len(p[0]) for p in part])
+    start = np.r_[0, np.cumsum([len(p[0]) for p in part])[:-1]]
+    xv = x[:, None] * m.v[i]
+    s = np.add.reduceat(xv, start)
+    z = m.w0 + np.add.reduceat(x * m.w[i], start) + 0.5 * ((s * s).sum(1) - np.add.reduceat((xv * xv).sum(1), start))
+    y = np.array([p[2] for p in part])
+    g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * np.array([weight[t] for t in y]) / len(part)
+    u, back = np.unique(i, return_inverse=True)
+    dw, dv = np.bincount(back, g[doc] * x, len(u)), np.zeros((len(u), m.v.shape[1]))
+    np.add.at(dv, back, (g[doc] * x)[:, None] * (s[doc] - xv))
+    return u, dw, dv, float(g.sum())
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], counts: dict[int, int], rank: int = 8, epochs: int = 12, rate: float = 0.08, decay: float = 2e-4, seed: int = 1) -> Machine:
     """Adaptive gradient steps on the logistic loss; the intercept is then moved to the classes' true odds."""
     k, rng = len(STATS), np.random.default_rng(seed)
@@ -105,32 +121,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], counts: dict[int, int]
     for _ in range(epochs):
         order = rng.permutation(len(data))
         for lo in range(0, len(data), 32):
-            part = [data[j] for j in order[lo : lo + 32]]
-            i, x = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
-            doc = np.repeat(np.arange(len(part)), [len(p[0]) for p in part])
-            start = np.r_[0, np.cumsum([len(p[0]) for p in part])[:-1]]
-            v = m.v[i]
-            xv = x[:, None] * v
-            s = np.add.reduceat(xv, start)
-            z = m.w0 + np.add.reduceat(x * m.w[i], start) + 0.5 * ((s * s).sum(1) - np.add.reduceat((xv * xv).sum(1), start))
-            y = np.array([p[2] for p in part])
-            g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * np.array([weight[t] for t in y]) / len(part)
-            u, back = np.unique(i, return_inverse=True)
-            dw, dv = np.bincount(back, g[doc] * x, len(u)) + decay * m.w[u], np.zeros((len(u), rank))
-            np.add.at(dv, back, (g[doc] * x)[:, None] * (s[doc] - xv))
-            dv += decay * m.v[u]
+            u, dw, dv, d0 = gradient(m, [data[j] for j in order[lo : lo + 32]], weight)
+            dw, dv = dw + decay * m.w[u], dv + decay * m.v[u]
             gw[u] += dw * dw
             gv[u] += dv * dv
-            g0 += g.sum() ** 2
+            g0 += d0**2
             m.w[u] -= rate * dw / np.sqrt(gw[u])
             m.v[u] -= rate * dv / np.sqrt(gv[u])
-            m.w0 -= rate * g.sum() / np.sqrt(g0)
+            m.w0 -= rate * d0 / np.sqrt(g0)
     m.w0 += float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))
     return m
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Machine:
-    """Fitted on at most per_class labelled rows of each class; their features, not their texts, reach the driver."""
+    """Fitted on at most per_class labelled rows of each class; their features, not their texts, reach the driver.
+
+    Those are at most 2 * per_class rows of at most WORDS + len(STATS) numbers each.
+    """
     sample, counts = fitting_sample(_inputs(docs), labels, "quality", per_class)
 
     def make():
