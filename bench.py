@@ -6,11 +6,42 @@ import time
 
 from pyspark.sql import SparkSession
 
+from tessera.api import Database
 from tessera.queries import SELECTS, queries
+from tessera.sources.scratch import scratch_path
 
 HEADLINE = ("filter_and_or", "true_division", "index_range", "inner_join_on", "left_join_unmatched", "self_join", "six_table_join", "sum_avg_min_max", "group_by_two", "agg_over_join", "topk", "order_multi_key")
 
 
+def workloads(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """The workloads that published figures exist for: 1,000 rows into a table with a primary key, and a join of three tables of 1,000 rows."""
+    out = {}
+
+    def timed(name, run):
+        began = time.time()
+        run()
+        out[name] = round(time.time() - began, 3)
+
+    db = Database(scratch_path(spark), spark)
+    for t in ("one", "bulk", "single", "two", "three"):
+        db.execute(f"CREATE TABLE {t} (id INT PRIMARY KEY, name TEXT NOT NULL)")
+    values = ", ".join(f"({i}, 'u{i}')" for i in range(1000))
+    timed("insert_1000_rows_one_statement", lambda: db.execute(f"INSERT INTO one VALUES {values}"))
+    timed("append_1000_rows", lambda: db.append("bulk", spark.range(1000).selectExpr("id", "concat('u', id) AS name")))
+    timed("insert_20_single_rows", lambda: [db.execute(f"INSERT INTO single VALUES ({i}, 'u{i}')") for i in range(20)])
+    for t in ("two", "three"):
+        db.append(t, spark.range(1000).selectExpr("id", "concat('u', id) AS name"))
+    join = "SELECT a.id, b.name, c.name FROM one a JOIN two b ON a.id = b.id JOIN three c ON b.id = c.id"
+    db.execute(join)
+    timed("join_3_tables_1000_rows", lambda: db.execute(join))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", "o_custkey AS customer")
+    db.execute("CREATE TABLE o (id INT PRIMARY KEY, customer INT)")
+    timed("append_orders", lambda: db.append("o", orders))
+    timed("create_index_orders", lambda: db.execute("CREATE INDEX by_customer ON o (customer)"))
+    timed("index_probe_orders", lambda: db.execute("SELECT id FROM o WHERE customer = 17"))
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -28,7 +59,8 @@ def main() -> None:
             best = min(best, time.time() - began)
         took[name] = round(best, 3)
     assert set(HEADLINE) <= set(SELECTS)
-    print(json.dumps({"metric": "headline queries, best of three", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
+    took |= workloads(spark, sf_dir)
+    print(json.dumps({"metric": "headline queries, best of three", "value": round(sum(took[n] for n in HEADLINE), 3), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
 
 
 if __name__ == "__main__":

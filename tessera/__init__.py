@@ -3,6 +3,7 @@
 from .api import Database, IsolationLevel, open  # noqa: A004
 from .errors import (
     AmbiguousColumnError,
+    BareTableNameError,
     ConstraintViolation,
     EngineError,
     NestedTransactionError,
@@ -15,6 +16,6 @@ from .errors import (
 )
 
 __all__ = [
-    "AmbiguousColumnError", "ConstraintViolation", "Database", "EngineError", "IsolationLevel", "NestedTransactionError", "NotNullViolation",
+    "AmbiguousColumnError", "BareTableNameError", "ConstraintViolation", "Database", "EngineError", "IsolationLevel", "NestedTransactionError", "NotNullViolation",
     "ParseError", "TypeMismatchError", "UnknownAliasError", "UnknownColumnError", "UnknownTableError", "open",
 ]

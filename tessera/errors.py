@@ -44,6 +44,10 @@ class UnknownAliasError(UnknownColumnError):
     pass
 
 
+class BareTableNameError(UnknownAliasError):
+    """A table is named although the statement gives it an alias."""
+
+
 class AmbiguousColumnError(EngineError):
     pass
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import json
-import math
 
 from pyspark.sql import types as T
 
@@ -84,6 +83,3 @@ def coerced(value, column: Column):
             raise TypeMismatchError(f"{column.name}: {e}") from e
     raise TypeMismatchError(f"{column.name} is {TAGS[family]} and does not take {kind.__name__}")
 
-
-def is_nan(value) -> bool:
-    return isinstance(value, float) and math.isnan(value)

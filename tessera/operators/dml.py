@@ -12,8 +12,8 @@ from ..functions.types import coerced, spark_type
 from ..plans import nodes as n
 from ..sources.store import Store, Table
 
-#: INSERTs merge a table's directories into one when it has more than so many.
-MOST_FILES = 64
+#: So many directories of one size tier are merged into one; a tier holds sizes within a factor of TIER.
+MERGED, TIER, LEAST_BYTES = 32, 8, 1 << 20
 
 
 def _compiler(table: Table) -> Compiler:
@@ -67,17 +67,49 @@ def insert(store: Store, table: Table, statement: n.Insert) -> int:
         if clash:
             raise ConstraintViolation(f"UNIQUE {table.name}({', '.join(key)})")
     table.files.append(store.write(table, new.coalesce(1)))
-    if len(table.files) > MOST_FILES:
-        table.files = [store.write(table, store.read(table))]
+    if len(table.files) > MERGED and len(table.files) % 8 == 0:
+        compact(store, table)
     return len(rows)
 
 
+def compact(store: Store, table: Table) -> int:
+    """Merge directories of like size where there are MERGED or more; how many went.
+
+    Only these are read and written, so a row is rewritten about once for every factor of TIER by
+    which its directory grows, whatever the size of the table.
+    """
+    tiers: dict[int, list[str]] = {}
+    for f in table.files:
+        bytes_, tier = store.size(f), 0
+        while bytes_ > LEAST_BYTES:
+            bytes_, tier = bytes_ // TIER, tier + 1
+        tiers.setdefault(tier, []).append(f)
+    gone = 0
+    for tier in sorted(tiers):
+        if len(tiers[tier]) >= MERGED:
+            part = Table(table.name, table.columns, tiers[tier], table.indexes)
+            new = store.write(table, store.read(part).coalesce(1) if not tier else store.read(part), whole=tier > 0)
+            table.files = [f for f in table.files if f not in tiers[tier]] + [new]
+            gone += len(tiers[tier])
+    return gone
+
+
 def append(store: Store, table: Table, rows: DataFrame) -> None:
-    """Rows of any size from a DataFrame, by column name; constraints are checked as for INSERT."""
+    """Rows of any size from a DataFrame, by column name; constraints are checked as for INSERT.
+
+    The new rows are checked among themselves; of the old ones only those with a key of theirs are
+    looked for, by a semi-join on the key.
+    """
     new = rows.select(*[F.col(f"`{c.name}`").cast(spark_type(c.family, c.size)).alias(c.name) if c.name in rows.columns else F.lit(None).cast(spark_type(c.family, c.size)).alias(c.name) for c in table.columns])
-    staged = store.write(table, new)
+    old, staged = Table(table.name, table.columns, list(table.files), table.indexes), store.write(table, new)
+    added = Table(table.name, table.columns, [staged], table.indexes)
+    check(store, table, store.read(added), [c.name for c in table.columns], staged)
+    for key in table.unique_keys() if old.files else ():
+        same = store.read(added).select(*[F.col(f"`{c}`") for c in key])
+        if not same.join(store.read(old).select(*same.columns), list(key), "left_semi").isEmpty():
+            store.remove([staged])
+            raise ConstraintViolation(f"UNIQUE {table.name}({', '.join(key)})")
     table.files.append(staged)
-    check(store, table, store.read(table), [c.name for c in table.columns], staged)
 
 
 def check(store: Store, table: Table, df: DataFrame, changed: list[str], staged: str) -> None:
@@ -141,8 +173,13 @@ def delete(store: Store, table: Table, statement: n.Delete) -> int:
 
 
 def create_index(store: Store, table: Table, name: str, columns: list[str], unique: bool) -> None:
+    """Note the index; the table's first one also sorts its files, so that a probe of the columns skips
+    row groups and files by their least and greatest values."""
     for c in columns:
         _column(table, c)
     if unique and _repeated(store.read(table), tuple(columns)):
         raise ConstraintViolation(f"UNIQUE {table.name}({', '.join(columns)})")
+    before = table.layout()
     table.indexes[name] = {"columns": list(columns), "unique": unique}
+    if table.files and table.layout() != before:
+        table.files = [store.write(table, store.read(table), whole=True)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import AmbiguousColumnError, EngineError, TypeMismatchError, UnknownAliasError, UnknownColumnError
+from ..errors import AmbiguousColumnError, BareTableNameError, EngineError, TypeMismatchError, UnknownAliasError, UnknownColumnError
 from ..functions.expressions import Compiler
 from ..functions.types import TAGS, family_of
 from . import nodes as n
@@ -29,6 +29,8 @@ class Relation:
     def find(self, name: n.Name) -> tuple[str, str]:
         if name.table is not None:
             if name.table not in self.tables:
+                if name.table in self.tables.values():
+                    raise BareTableNameError(f"{name.table} has an alias here: {', '.join(a for a, t in self.tables.items() if t == name.table)}")
                 raise UnknownAliasError(f"no table or alias {name.table}")
             if (name.table, name.column) not in self.families:
                 raise UnknownColumnError(f"{name.table} has no column {name.column}")

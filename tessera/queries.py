@@ -16,7 +16,7 @@ _SEG = "nullif(c_mktsegment, 'BUILDING')"
 #: Tables with nulls, derived as the generated ones hold none.
 _DERIVED: dict[str, tuple[str, str]] = {
     "cust": ("customer", f"c_custkey, c_name, CASE WHEN c_nationkey < 5 THEN NULL ELSE c_nationkey END AS c_nationkey, c_acctbal, {_SEG} AS seg"),
-    "docs": ("documents", "doc_id, lang, n_chars"),
+    "docs": ("documents", "doc_id, lang, n_chars, text AS body"),
 }
 _CUST = f"(SELECT {_DERIVED['cust'][1]} FROM customer)"
 _SUM = "CAST(SUM(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
@@ -55,12 +55,12 @@ SELECTS: dict[str, tuple[str, list[str] | None, str]] = {
     "inner_join_theta": ("SELECT a.n_name, b.r_name FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey", None, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey"),
     "left_join_unmatched": ("SELECT d.doc_id, l.quality FROM docs d LEFT JOIN labels l ON d.doc_id = l.doc_id", None, "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "join_using": ("SELECT doc_id, lang, toxic FROM docs JOIN labels USING (doc_id)", None, "SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id)"),
-    "left_join_using": ("SELECT * FROM docs LEFT JOIN labels USING (doc_id)", None, "SELECT d.doc_id, lang, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "left_join_using": ("SELECT * FROM docs LEFT JOIN labels USING (doc_id)", None, "SELECT d.doc_id, lang, n_chars, text AS body, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "self_join": ("SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey", ["a", "b"], "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey"),
     "three_way_join": ("SELECT c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", None, "SELECT c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "six_table_join": ("SELECT r_name, COUNT(*) FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY r_name", ["r_name", "n"], "SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY r_name"),
     "join_where_after": ("SELECT d.doc_id FROM docs d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL AND d.lang = 'en'", None, "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL AND d.lang = 'en'"),
-    "join_star_dedup": ("SELECT * FROM docs d JOIN labels l ON d.doc_id = l.doc_id", None, "SELECT d.doc_id, lang, n_chars, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"),
+    "join_star_dedup": ("SELECT * FROM docs d JOIN labels l ON d.doc_id = l.doc_id", None, "SELECT d.doc_id, lang, n_chars, text AS body, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"),
     "join_null_keys": ("SELECT c_custkey, n_name FROM cust LEFT JOIN nation ON c_nationkey = n_nationkey", None, f"SELECT c_custkey, n_name FROM {_CUST} LEFT JOIN nation ON c_nationkey = n_nationkey"),
     "count_star": ("SELECT COUNT(*) FROM lineitem", ["n"], "SELECT count(*) AS n FROM lineitem"),
     "count_col_skips_null": ("SELECT COUNT(*), COUNT(seg) FROM cust", ["n", "k"], f"SELECT count(*) AS n, count(seg) AS k FROM {_CUST}"),
@@ -73,9 +73,9 @@ SELECTS: dict[str, tuple[str, list[str] | None, str]] = {
     "group_by_no_agg": ("SELECT seg FROM cust GROUP BY seg", None, f"SELECT DISTINCT seg FROM {_CUST} WHERE seg IS NOT NULL"),
     "agg_over_join": ("SELECT n_name, COUNT(*), MAX(o_totalprice) FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o_totalprice > 1000 GROUP BY n_name ORDER BY n_name", ["n_name", "n", "m"], "SELECT n_name, count(*) AS n, max(o_totalprice) AS m FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY n_name"),
     "group_order": ("SELECT c_nationkey, COUNT(*) FROM customer GROUP BY c_nationkey ORDER BY c_nationkey DESC LIMIT 5", ["k", "n"], "SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY k ORDER BY k DESC LIMIT 5"),
-    "order_asc_nulls_last": ("SELECT c_custkey, seg FROM cust ORDER BY seg, c_custkey LIMIT 900", None, f"SELECT c_custkey, seg FROM {_CUST} ORDER BY seg ASC NULLS LAST, c_custkey LIMIT 900"),
-    "order_desc_nulls_first": ("SELECT c_custkey, seg FROM cust ORDER BY seg DESC, c_custkey LIMIT 200", None, f"SELECT c_custkey, seg FROM {_CUST} ORDER BY seg DESC NULLS FIRST, c_custkey LIMIT 200"),
-    "order_multi_key": ("SELECT c_custkey FROM cust ORDER BY c_nationkey DESC, c_custkey LIMIT 100", None, f"SELECT c_custkey FROM {_CUST} ORDER BY c_nationkey DESC NULLS FIRST, c_custkey LIMIT 100"),
+    "order_asc_nulls_last": ("SELECT c_custkey, seg FROM cust ORDER BY seg, c_custkey", None, f"SELECT c_custkey, seg FROM {_CUST} ORDER BY seg ASC NULLS LAST, c_custkey"),
+    "order_desc_nulls_first": ("SELECT c_custkey, seg FROM cust ORDER BY seg DESC, c_custkey", None, f"SELECT c_custkey, seg FROM {_CUST} ORDER BY seg DESC NULLS FIRST, c_custkey"),
+    "order_multi_key": ("SELECT c_custkey FROM cust ORDER BY c_nationkey DESC, c_custkey", None, f"SELECT c_custkey FROM {_CUST} ORDER BY c_nationkey DESC NULLS FIRST, c_custkey"),
     "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_custkey DESC LIMIT 10", None, "SELECT c_name FROM customer ORDER BY c_custkey DESC LIMIT 10"),
     "limit": ("SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 3", None, "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 3"),
     "limit_offset": ("SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 4 OFFSET 7", None, "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 4 OFFSET 7"),
@@ -162,6 +162,66 @@ def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.sql("SELECT * FROM v").selectExpr("a", "b", "c", "d", "e", "cast(f as string) f", "g", "cast(h as double) h", "hex(i) i", "j")
 
 
+def _indexed(select: str, then: str = ""):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Database(scratch_path(spark), spark)
+        db.register_parquet("c", f"{sf_dir}/customer.parquet")
+        db.execute("CREATE TABLE o (id INT PRIMARY KEY, customer INT)")
+        db.append("o", spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")))
+        db.execute("CREATE INDEX by_customer ON o (customer)")
+        if then:
+            db.drop_index("by_customer")
+        return db.sql(select)
+
+    return run
+
+
+def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unique index over two columns refuses a repeated pair, and takes the same value in one of them."""
+    from .errors import ConstraintViolation
+
+    db = Database(scratch_path(spark), spark)
+    db.execute("CREATE TABLE l (a INT, b INT)")
+    db.append("l", spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")).distinct())
+    db.create_index("pair", "l", ["a", "b"], unique=True)
+    db.execute("INSERT INTO l VALUES (-1, 1), (-1, 2)")
+    for s in ("INSERT INTO l VALUES (-1, 2)", "UPDATE l SET b = 1 WHERE a = -1"):
+        try:
+            db.execute(s)
+        except ConstraintViolation:
+            continue
+        raise AssertionError(s)
+    return db.sql("SELECT * FROM l")
+
+
+def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(scratch_path(spark), spark)
+    for s in ("CREATE TABLE kept (a INT)", "CREATE TABLE gone (a INT)", "DROP TABLE gone", "DROP TABLE IF EXISTS gone"):
+        db.execute(s)
+    return spark.createDataFrame([(t,) for t in db.list_tables()], "name string")
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(scratch_path(spark), spark)
+    db.register("o", spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day")))
+    return db.sql("SELECT id, day - DATE '1995-01-01' FROM o").toDF("id", "days").withColumn("days", F.col("days").cast("bigint"))
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(scratch_path(spark), spark)
+    db.register_parquet("r", f"{sf_dir}/region.parquet")
+    return db.sql("SELECT r_name FROM r").toDF("name")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty INSERTs, whose directories are merged by size on the way."""
+    db = _customers(spark, sf_dir)
+    for i in range(40):
+        db.execute(f"INSERT INTO t (id, name) VALUES ({900000 + i}, 'n')")
+    db.compact("t")
+    return db.sql("SELECT * FROM t")
+
+
 STATES: dict[str, tuple[Callable, str]] = {
     "ddl_insert_roundtrip": (_after("INSERT INTO t VALUES (900001, 'new', 3, 1.5, NULL), (900002, 'o', NULL, 2, 'S')"), f"SELECT * FROM {_T} UNION ALL VALUES (900001, 'new', 3, 1.5, NULL), (900002, 'o', NULL, 2.0, 'S')"),
     "insert_column_subset": (_after("INSERT INTO t (name, id) VALUES ('sub', 900003)"), f"SELECT * FROM {_T} UNION ALL SELECT 900003, 'sub', NULL, NULL, NULL"),
@@ -172,6 +232,15 @@ STATES: dict[str, tuple[Callable, str]] = {
     "constraint_state": (_failed, f"SELECT * FROM {_T}"),
     "rollback_state": (_rolled_back, f"SELECT * FROM {_T}"),
     "snapshot_state": (_snapshot, f"SELECT * FROM {_T}"),
+    "index_created_equality": (_indexed("SELECT id, customer FROM o WHERE customer = 17"), "SELECT o_orderkey AS id, o_custkey AS customer FROM orders WHERE o_custkey = 17"),
+    "index_created_range": (_indexed("SELECT id, customer FROM o WHERE customer >= 20 AND customer < 60"), "SELECT o_orderkey AS id, o_custkey AS customer FROM orders WHERE o_custkey >= 20 AND o_custkey < 60"),
+    "index_created_join": (_indexed("SELECT id, c_name FROM o JOIN c ON customer = c_custkey"), "SELECT o_orderkey AS id, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "index_dropped": (_indexed("SELECT id, customer FROM o WHERE customer < 9", "DROP"), "SELECT o_orderkey AS id, o_custkey AS customer FROM orders WHERE o_custkey < 9"),
+    "index_composite_unique": (_composite, "SELECT DISTINCT l_orderkey AS a, l_linenumber AS b FROM lineitem UNION ALL SELECT -1, 1 UNION ALL SELECT -1, 2"),
+    "drop_table_state": (_dropped, "SELECT 'kept' AS name"),
+    "date_difference": (_dates, "SELECT o_orderkey AS id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders"),
+    "register_parquet": (_registered, "SELECT r_name AS name FROM region"),
+    "compacted_state": (_compacted, f"SELECT * FROM {_T} UNION ALL SELECT 900000 + range, 'n', NULL, NULL, NULL FROM range(40)"),
     "types_roundtrip": (_types, "SELECT CAST(-7 AS BIGINT) AS a, CAST(2.5 AS DOUBLE) AS b, 'it''s' AS c, true AS d, DATE '2024-02-29' AS e, '12:34:56' AS f, TIMESTAMP '2024-02-29 01:02:03' AS g, CAST(12345.6789 AS DOUBLE) AS h, '000102' AS i, '{\"a\":1,\"b\":[1,null]}' AS j UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL"),
 }
 
