@@ -1,9 +1,11 @@
 """The training-data operators against brute force, the libraries and held-out labels, on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ import public_tokenizers as P
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import ann_hilbert, bpe, bpe_codec, embed_dedup, langid, packing, quality_fm, sharding, simhash, token_counts, toxicity
+from tessera.llm import ann_hilbert, bpe, bpe_codec, embed_dedup, labelled, langid, packing, quality_fm, queries, sharding, simhash, token_counts, toxicity
 from tessera.llm.common import ship
 
 ODD = [None, "", " ", "\n\n", "a  b\t c\n d", "don't  stop!! 12 ½ é", "日本語 text 🙂", "<|endoftext|> x <|startoftext|>", "the cat " * 3000, "the cat sat on the mat.", "the cat sat on the mat."]
@@ -231,9 +233,225 @@ def test_paths_of_many_texts_are_the_best():
             assert abs(value(got) - max(value(p) for p in np.ndindex(*[3] * len(s)))) < 1e-9
 
 
-def test_too_few_labels_call_nothing_toxic():
-    rows = [(frozenset({"house", "water"}), 0)] * 20 + [(frozenset({"house", "bad"}), 1)] * 2
-    assert toxicity.train(rows, {0: 20, 1: 2})[1] < 0
+def test_labels_that_tell_nothing_call_nothing_toxic(spark):
+    ship(spark)
+    table = spark.createDataFrame([(i, "the house and water") for i in range(30)], "doc_id long, text string")
+    for marks in ([(i, int(i < 4)) for i in range(30)], [(i, 0) for i in range(30)], []):
+        model = toxicity.fit(table, spark.createDataFrame(marks, "doc_id long, toxic int"))
+        assert not model.weights and all(r.predicted == 0 for r in toxicity.score(table, model).collect())
+
+
+def test_telling_features_are_few_where_labels_are():
+    assert toxicity.telling([("bad", 4, 4), ("odd", 2, 2)], {1: 3000, 2: 400, 3: 90, 4: 40}, 0.13, 512, 0.5) == ["bad"]
+    assert toxicity.telling([("bad", 2, 2)], {1: 3000, 2: 400}, 0.13, 512, 0.5) == []
+    tail = toxicity.tails(5, 0.3)
+    assert abs(tail[0] - 1) < 1e-12 and abs(tail[5] - 0.3**5) < 1e-12 and abs(tail[4] - (0.3**5 + 5 * 0.3**4 * 0.7)) < 1e-12
+
+
+def test_a_lattice_is_decoded_as_its_best_path():
+    """restore() against every way through the lattice."""
+    words = {"idiot": 40, "stupid": 30, "dot": 10, "it": 50, "do": 30, "is": 40, "to": 60}
+    model = toxicity.char_model(toxicity.trigrams(words))
+
+    def ways(s, i=0):
+        if i == len(s):
+            yield 0.0, ""
+            return
+        ch, repeat = s[i], i > 0 and s[i - 1] == s[i]
+        options = []
+        if ch.isalpha():
+            options.append((ch, toxicity.SAID))
+            if repeat:
+                options.append(("", 0.0 if i > 1 and s[i - 2] == ch else toxicity.DROPPED_REPEAT))
+        elif ch in toxicity._SEPARATORS and ch not in toxicity.LEET:
+            options += [("", toxicity.SAID), (" ", toxicity.WORD_END)]
+        else:
+            options += [(c, toxicity.IMITATED) for c in toxicity.LEET.get(ch, "")] + [("", toxicity.SAID if repeat else toxicity.DROPPED_SIGN)]
+            if ch in toxicity._SEPARATORS:
+                options.append(("", toxicity.SAID))
+        for c, cost in options:
+            for rest, tail in ways(s, i + 1):
+                yield cost + rest, c + tail
+
+    def value(said):
+        if said.startswith(" ") or "  " in said:
+            return -math.inf
+        total = 0.0
+        for word in said.split(" "):
+            padded = f"  {word} " if word else ""
+            total += sum(model.logp(*padded[i - 2 : i + 1]) for i in range(2, len(padded)))
+        return total
+
+    for stretch in ("1d10t", "i d-i0t", "stuuup1d", "i_t", "d00t", "s*up!d", "t.o"):
+        best = max((cost + value(said), said) for cost, said in ways(stretch))
+        got = toxicity.restore(stretch, model)
+        scores = [cost + value(said) for cost, said in ways(stretch) if said.split() == got]
+        assert scores and abs(max(scores) - best[0]) < 1e-9, (stretch, got, best)
+
+
+def test_deobfuscation_gates():
+    words = {"stupid": 60, "idiot": 60, "loser": 50, "the": 300, "house": 50, "and": 200, "well": 40, "known": 40, "on": 200, "mor": 9}
+    toxic = toxicity.Toxic(toxicity.char_model(toxicity.trigrams(words)), {"stupid": 3.0, "idiot": 3.0, "loser": 2.0, "lowei--": 2.0}, -1.0)
+    scorer = toxicity.Scorer(toxic)
+    for text in ("stu-pid", "st.up.id", "s t u pid house", "s t u p i d and the", "$tup1d", "stuuupid", "sstupid", "ｓｔｕｐｉｄ"):
+        assert scorer.words(text) == {"stupid"}, text
+    for text in ("stu pid", "455 is on the house", "well-known", "the house and", "12-34", None, "", "   "):
+        assert scorer.words(text) == set(), text
+    assert scorer.words("i d i o t") == {"idiot"} and scorer.words("loweian loweien") == {"lowei--"} and scorer.words("loweian") == set()
+    long = "x1" * 20_000 + " id" + "i" * 1000 + "ot"
+    assert 0 < scorer(long) < 1 and len(scorer) < 50 and all(len(c) <= toxicity.LONGEST for c in scorer)
+
+
+def test_one_row_of_a_repeated_id_is_fitted(spark):
+    ship(spark)
+    table = spark.createDataFrame([(7, f"text {i}") for i in range(5000)] + [(8, None), (8, "said"), (None, "x")], "doc_id long, text string")
+    marks = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (None, 1)], "doc_id long, toxic int")
+    found, counts = labelled.fitting_sample(table, marks, "toxic", 10, modulus=1000)
+    rows = sorted(map(tuple, found.select("doc_id", "text", "label").collect()))
+    assert [(r[0], r[2]) for r in rows] == [(7, 1), (8, 0)] and rows[1][1] == "said" and counts == {0: 1, 1: 1}
+
+
+def test_machine_sums_pairs_and_its_gradient_is_right():
+    rng = np.random.default_rng(6)
+    k, size = len(quality_fm.STATS), 12
+    m = quality_fm.Machine(0.3, rng.normal(size=size + k), rng.normal(size=(size + k, 4)), np.zeros(k), np.ones(k))
+    rows = [(np.r_[rng.choice(size, 5, replace=False), size : size + k], np.r_[rng.normal(size=5), rng.normal(size=k)], int(y)) for y in (0, 1, 1)]
+    for i, x, _ in rows:
+        z = m.standard(x)
+        pairs = sum((m.v[i[a]] @ m.v[i[b]]) * z[a] * z[b] for a in range(len(i)) for b in range(a))
+        assert abs(m.raw(i, x) - (m.w0 + z @ m.w[i] + pairs)) < 1e-9
+    weight = {0: 1.5, 1: 0.75}
+    part = [(i, m.standard(x), y) for i, x, y in rows]
+
+    def loss():
+        out = 0.0
+        for i, x, y in rows:
+            z = m.raw(i, x)
+            out += weight[y] * (math.log1p(math.exp(-z)) + (1 - y) * z) / len(rows)
+        return out
+
+    u, dw, dv, d0 = quality_fm.gradient(m, part, weight)
+
+    def slope(array, at):
+        step = 1e-6
+        array[at] += step
+        high = loss()
+        array[at] -= 2 * step
+        low = loss()
+        array[at] += step
+        return (high - low) / (2 * step)
+
+    for n, f in enumerate(u):
+        assert abs(slope(m.w, f) - dw[n]) < 1e-6 and all(abs(slope(m.v, (f, r)) - dv[n, r]) < 1e-6 for r in range(4))
+    m.w0 += 1e-6
+    high = loss()
+    m.w0 -= 2e-6
+    assert abs((high - loss()) / 2e-6 - d0) < 1e-6
+
+
+def test_counts_of_every_fast_code_point():
+    """Each character that the fast path takes, at the start, in the middle and at the end of whole-word tokens."""
+    path = P.path("word_bpe_49k.json")
+    tok = bpe.library(path)
+    lengths = token_counts.Lengths(path, token_counts.frequent_lengths(path), 10**6)
+    texts = [t for c in map(chr, range(1, 0x300)) for t in (f"{c}gardener", f"gar{c}dener", f"gardener{c}", f"mountains{c} Mountains {c} it's{c}s")]
+    texts += ["Əlaqə Ɛdɛ Ɓala gardenerȺ", "mountainsȺ mountainsȾ", "“quoted” – word … don't", "ΑΣ ΣΑΣ", "e\u0301 \u0301x", "日本 the house語", "a\u00a0b\u2028c\x0bd", "x" * 5000 + " é"]
+    for t in texts:
+        assert lengths.count(t) == len(tok.encode(t, add_special_tokens=False).ids), repr(t)
+    assert all(len(c) <= bpe.LONGEST for c in lengths)
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    """The same merges with a space put before the text, or with another split, are not the fast path's."""
+    import json
+
+    spec = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    assert bpe.json_encoding(P.path("byte_bpe_50k.json"), P.PATTERN) is not None
+    for n, change in enumerate(({"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}, {"normalizer": {"type": "Lowercase"}})):
+        path = tmp_path / f"{n}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        encode, tok = bpe.JsonEncoder(str(path), P.PATTERN), bpe.library(str(path))
+        for s in ("hello world", "Don't  stop"):
+            assert np.frombuffer(encode(s), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids
+
+
+def test_equal_rows_are_shuffled(spark):
+    rows = sharding.uniform_shards(spark.range(10_000).selectExpr("if(id < 1000, 5, id) AS doc_id", "if(id < 1000, 'same', cast(id AS string)) AS text"), rows_per_bucket=100, group_width=8).collect()
+    for s in range(8):
+        mine = sorted((r.slot, r.doc_id) for r in rows if r["shard"] == s)
+        assert [a for a, _ in mine] == list(range(1250))
+        equal = [a for a, d in mine if d == 5]
+        assert 75 < len(equal) < 175 and sum(b - a == 1 for a, b in zip(equal, equal[1:], strict=False)) < 40
+
+
+def test_short_texts_are_packed_tightly(spark):
+    """Thousands of repeated short rows: a tree of workers, the smallest class by size, no gap and no clash."""
+    ship(spark)
+    path = P.path("byte_bpe_50k.json")
+    table = spark.range(3000).selectExpr("cast(null AS long) AS doc_id", "'a b c d e f g h i j' AS text")
+    rows = packing.pack(table, path, P.PATTERN, rows_per_worker=50, fan=4).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == by.get(r.sequence_id, 0)
+        by[r.sequence_id] = r.offset + r.length
+    assert sum(by.values()) == 33_000 and max(by.values()) <= 2048 and len(by) <= 19
+
+
+def test_packed_numbers_round_trip():
+    for x in (np.r_[0, 1, 127, 128, 129, 16383, 16384, 2**31 - 1, 5], np.empty(0, np.int64)):
+        assert (bpe_codec.unpacked(bpe_codec.packed(x)) == x).all()
+
+
+def test_names_that_clash_and_long_texts(spark):
+    ship(spark)
+    long = "the water house " * 40_000 + "idiot"
+    table = spark.createDataFrame([(i, s, "en", "c", 0, "l", [1]) for i, s in enumerate([*ODD, long])], "doc_id long, text string, lang string, score string, predicted int, lang_pred string, spans array<int>")
+    model = toxicity.Toxic(toxicity.char_model(toxicity.trigrams({"idiot": 5, "water": 9})), {"idiot": 5.0}, -1.0)
+    scored = {r.doc_id: r for r in toxicity.score(table, model).collect()}
+    assert len(scored) == len(ODD) + 1 and scored[len(ODD)].predicted == 1 and scored[0].predicted == 0
+    found = {r.doc_id: r for r in langid.identify(table, langid.fit(table), with_spans=True).collect()}
+    assert found[len(ODD)].lang_pred == "en" and found[0].lang_pred == "und" and found[1].spans == []
+    counted = token_counts.token_counts(table.withColumn("n_tokens", F.lit("x")), P.path("word_bpe_49k.json"))
+    assert counted.schema["n_tokens"].dataType.simpleString() == "bigint" and counted.count() == len(ODD) + 1
+    stray = table.select("doc_id", "text", F.concat(F.lit("l"), "doc_id").alias("lang"))
+    assert len(langid.fit(stray, languages=3).names) == 3
+
+
+def test_repeated_vectors_and_ids(spark):
+    ship(spark)
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (3, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    rows = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embed_dedup.near_duplicates(table).collect())
+    assert rows == [(0, 0, 0, False), (1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+CONTRACTS = {
+    "op1_quality_fm": "doc_id held_out score predicted", "op2_hyperplane_dedup": "vec_id n_links component_id kept", "op3_covering_simhash": "doc_id fingerprint component_id",
+    "op4_harmonic_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op5_hilbert_neighbours": "query_id rank vec_id score", "op6_language_spans": "doc_id held_out lang_pred score",
+    "op7_deobfuscated_toxicity": "doc_id held_out score predicted", "op8_uniform_shards": "doc_id size text_crc32 law shard slot grown_shard", "op9_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op10_bpe_codec": "doc_id n_tokens ids_sha256 decoded_sha256",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_contracts(spark, name):
+    """The registered queries on the smallest tables: columns, whole tables, the rules for held_out and predicted."""
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    found = queries.queries()[name](spark, sf)
+    assert set(CONTRACTS[name].split()) <= set(found.columns)
+    rows = found.collect()
+    docs = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    if "doc_id" in found.columns:
+        assert sorted(r.doc_id for r in rows) == docs if name != "op4_harmonic_packing" else {r.doc_id for r in rows} == set(docs)
+    if "held_out" in found.columns:
+        modulus, rest = (4, 2) if name.startswith("op6") else (5, 0)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == rest) and 0 <= r.score <= 1 for r in rows)
+    if "predicted" in found.columns:
+        cut = 0.3 if name.startswith("op1") else 0.5
+        assert all(r.predicted == int(r.score >= cut) for r in rows)
+    if name.startswith("op5"):
+        assert all(r.query_id % 50 == 0 for r in rows) and {r["rank"] for r in rows} == {1, 2, 3, 4, 5} and len(rows) == 5 * len({r.query_id for r in rows})
 
 
 def test_empty_tables(spark, docs):
@@ -245,3 +463,5 @@ def test_empty_tables(spark, docs):
     table = vectors(spark)[1].where("false")
     assert embed_dedup.near_duplicates(table).count() == 0 and ann_hilbert.nearest(table, table).count() == 0
     assert langid.identify(none, langid.fit(none)).count() == 0
+    marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_fm.score(none, quality_fm.fit(none, marks)).count() == 0 and toxicity.score(none, toxicity.fit(none, marks)).count() == 0
