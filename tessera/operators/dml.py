@@ -14,6 +14,8 @@ from ..sources.store import Store, Table
 
 #: So many directories of one size tier are merged into one; a tier holds sizes within a factor of TIER.
 MERGED, TIER, LEAST_BYTES = 32, 8, 1 << 20
+#: An INSERT of more rows looks its keys up by a join.
+MOST_LITERALS = 256
 
 
 def _compiler(table: Table) -> Compiler:
@@ -61,9 +63,12 @@ def insert(store: Store, table: Table, statement: n.Insert) -> int:
         keys = [k for r in rows if None not in (k := tuple(bytes(r[at[c]]) if isinstance(r[at[c]], bytearray) else r[at[c]] for c in key))]
         clash = len(set(keys)) != len(keys)
         if not clash and keys and table.files:
-            # The statement's own literals are the small side; their number is the statement's.
-            ours = F.broadcast(new.select(*[F.col(f"`{c}`") for c in key]))
-            clash = not store.read(table).join(ours, list(key), "left_semi").limit(1).isEmpty()
+            if len(key) == 1 and len(keys) <= MOST_LITERALS:
+                clash = not store.read(table).where(F.col(f"`{key[0]}`").isin([k[0] for k in keys])).isEmpty()  # pushed to the files
+            else:
+                # The statement's own literals are the small side; their number is the statement's.
+                ours = F.broadcast(new.select(*[F.col(f"`{c}`") for c in key]))
+                clash = not store.read(table).join(ours, list(key), "left_semi").isEmpty()
         if clash:
             raise ConstraintViolation(f"UNIQUE {table.name}({', '.join(key)})")
     table.files.append(store.write(table, new.coalesce(1)))
