@@ -71,10 +71,6 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1)).cast("int")
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def with_columns(schema: T.StructType, extra: list[tuple[str, T.DataType]]) -> T.StructType:
     """schema plus extra; an input column whose name clashes with an extra one gives way."""
     names = {name.lower() for name, _ in extra}
