@@ -62,5 +62,24 @@ def queries():
     return {f.__name__: f for f in (op1_quality_fm, op2_hyperplane_dedup, op3_covering_simhash, op4_harmonic_packing, op5_hilbert_neighbours, op6_language_spans, op7_deobfuscated_toxicity, op8_uniform_shards, op9_token_counts, op10_bpe_codec)}
 
 
+#: The least id a vector reaches: smaller ids travel along links towards larger ones, which every path from a component's least id does.
+_OP2 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.9),
+reach AS (
+    SELECT vec_id AS node, vec_id AS least FROM embeddings
+    UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node WHERE r.least < l.b),
+named AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN named m ON m.node = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
+
+
 def oracle_sql():
-    return {}
+    """SQL for the whole result where there is any: for ids that are there and do not repeat."""
+    return {"op2_hyperplane_dedup": _OP2}

@@ -7,6 +7,7 @@ import re
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers as P
@@ -424,6 +425,18 @@ def test_repeated_vectors_and_ids(spark):
     assert rows == [(0, 0, 0, False), (1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
 
 
+def test_same_vectors_as_sql(spark, tmp_path):
+    ship(spark)
+    table = vectors(spark)[1]
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    name = "op2_hyperplane_dedup"
+    mine = queries.queries()[name](spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()
+    theirs = con.sql(queries.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, mine)) == sorted(theirs) and any(r.n_links for r in mine)
+
+
 CONTRACTS = {
     "op1_quality_fm": "doc_id held_out score predicted", "op2_hyperplane_dedup": "vec_id n_links component_id kept", "op3_covering_simhash": "doc_id fingerprint component_id",
     "op4_harmonic_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op5_hilbert_neighbours": "query_id rank vec_id score", "op6_language_spans": "doc_id held_out lang_pred score",
