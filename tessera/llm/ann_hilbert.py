@@ -71,8 +71,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_
     index = rows.withColumn("low", low).where(F.col("low") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     asked = rows.join(queries.select(F.col(ident).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     index = index.join(asked.select("embedding", F.lit(True).alias("asked")).distinct(), "embedding", "left")
-    index = materialise(index.select(F.xxhash64("embedding", F.col("ids")[0]).alias("node"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "embedding"), "index")
-    n = index.count()
+    index = index.select(F.xxhash64("embedding", F.col("ids")[0]).alias("node"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "embedding")
     kind = "<f4" if index.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
 
     def keyed(batches):
@@ -84,15 +83,19 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_
             for at, matrix in vectors.by_length(batch.column(3)):
                 out[at] = keys(matrix)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, curves, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], vectors.pack(batch.column(3), kind), lists], names=["node", "low", "asked", "packed", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, vectors.pack(batch.column(3), kind), lists], names=schema.names)
 
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("low", T.LongType()), T.StructField("asked", T.BooleanType()), T.StructField("packed", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*index.schema.fields, T.StructField("packed", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    index = index.mapInArrow(keyed, schema).withColumn("embedding", F.when(F.col("asked"), F.col("embedding")))
+    index = materialise(index, "index")
+    n = index.count()
     ranges = max(12, -(-n // range_rows))
     parts = -(-blocks // ranges)
-    spread = index.select("node", F.col("ids")[0].alias("low"), "asked", "embedding").mapInArrow(keyed, schema).select("node", "low", "asked", "packed", F.posexplode("keys").alias("curve", "key"))
+    # Keys alone are ordered; a vector moves once a curve, to the block that its keys have found.
+    spread = index.select("node", F.posexplode("keys").alias("curve", "key"))
     spread = spread.repartitionByRange(ranges * curves, "curve", "key", "node").sortWithinPartitions("curve", "key", "node")
     place = {"range": F.spark_partition_id().cast("long"), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
-    spread = materialise(spread.withColumns(place).select("curve", "range", "at", "node", "low", "asked", "packed"), "ranges")
+    spread = materialise(spread.withColumns(place).select("curve", "range", "at", "node"), "ranges")
     width = ((spread.agg(F.max("range")).first()[0] or 0) + 1) * parts
     if parts > 1:  # then there are fewer than blocks ranges a curve, which bounds what is broadcast
         sizes = spread.groupBy("range").agg((F.max("at") + 1).alias("size"))
@@ -100,9 +103,11 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ident: str = "vec_
     else:
         spread = spread.withColumn("block", F.col("range"))
     reach = max(1, math.ceil((share + rows_more / max(1, n)) * width / curves))
-    near = F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block")
-    seek = spread.where("asked").select("curve", near, F.lit(1).alias("role"), "node", F.lit(0).cast("long").alias("low"), "packed")
-    found = spread.select("curve", "block", F.lit(0).alias("role"), "node", "low", "packed").unionByName(seek)
+    whole = spread.select("curve", "block", "node").join(index.select("node", F.col("ids")[0].alias("low"), "asked", "packed"), "node")
+    held = F.array(F.struct(F.col("block"), F.lit(0).alias("role")))
+    near = F.transform(F.sequence(F.col("block") - reach, F.col("block") + reach), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
+    found = whole.select("curve", F.explode(F.when(F.col("asked"), F.concat(held, near)).otherwise(held)).alias("to"), "node", "low", "packed")
+    found = found.select("curve", "to.block", "to.role", "node", "low", "packed")
     found = found.repartition("curve", "block").sortWithinPartitions("curve", "block", "role")
 
     def run(batches):
