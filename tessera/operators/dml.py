@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import ConstraintViolation, NotNullViolation, TypeMismatchError, UnknownAliasError, UnknownColumnError
 from ..functions.expressions import Compiler
@@ -16,6 +18,8 @@ from ..sources.store import Store, Table
 MERGED, TIER, LEAST_BYTES = 32, 8, 1 << 20
 #: An INSERT of more rows looks its keys up by a join.
 MOST_LITERALS = 256
+#: Characters of the longest text that a manifest keeps as a bound of a directory's keys.
+LONGEST_BOUND = 64
 
 
 def _compiler(table: Table) -> Compiler:
@@ -43,6 +47,24 @@ def _repeated(df: DataFrame, key: tuple[str, ...]) -> bool:
     return not known.groupBy(*[F.col(f"`{c}`") for c in key]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
+def _literals(table: Table, rows: list[tuple]) -> pa.Table:
+    schema = to_arrow_schema(table.schema)
+    columns = [pa.array([bytes(v) if isinstance(v, bytearray) else v for v in c], f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+    return pa.Table.from_arrays(columns, schema=schema)
+
+
+def _range(values: list) -> list | None:
+    """The least and the greatest of a key's whole numbers or short texts, [] of none; None where they are not kept."""
+    if not all(type(v) is int or type(v) is str and len(v) <= LONGEST_BOUND for v in values):
+        return None
+    return [min(values), max(values)] if values else []
+
+
+def _apart(bounds: list | None, values: set) -> bool:
+    """Whether a directory with these bounds surely holds none of the values."""
+    return bounds is not None and (not bounds or all(v < bounds[0] or v > bounds[1] for v in values))
+
+
 def insert(store: Store, table: Table, statement: n.Insert) -> int:
     names = list(statement.columns) if statement.columns is not None else [c.name for c in table.columns]
     if len(set(names)) != len(names):
@@ -57,21 +79,28 @@ def insert(store: Store, table: Table, statement: n.Insert) -> int:
             if c.not_null and given.get(c.name) is None:
                 raise NotNullViolation(f"{table.name}.{c.name} is NOT NULL")
         rows.append(tuple(given.get(c.name) for c in table.columns))
-    new = store.spark.createDataFrame(rows, table.schema)
-    at = {c.name: i for i, c in enumerate(table.columns)}
+    new = _literals(table, rows)
+    at, ranges = {c.name: i for i, c in enumerate(table.columns)}, {}
     for key in table.unique_keys():
         keys = [k for r in rows if None not in (k := tuple(bytes(r[at[c]]) if isinstance(r[at[c]], bytearray) else r[at[c]] for c in key))]
+        first = {k[0] for k in keys}
+        files = [f for f in table.files if not _apart(table.ranges.get(f, {}).get(key[0]), first)]
+        bounds = _range([r[at[key[0]]] for r in rows if r[at[key[0]]] is not None])
+        if bounds is not None:
+            ranges[key[0]] = bounds
         clash = len(set(keys)) != len(keys)
-        if not clash and keys and table.files:
+        if not clash and keys and files:
+            old = store.read(Table(table.name, table.columns, files, table.indexes))
             if len(key) == 1 and len(keys) <= MOST_LITERALS:
-                clash = not store.read(table).where(F.col(f"`{key[0]}`").isin([k[0] for k in keys])).isEmpty()  # pushed to the files
+                clash = not old.where(F.col(f"`{key[0]}`").isin([k[0] for k in keys])).isEmpty()  # pushed to the files
             else:
                 # The statement's own literals are the small side; their number is the statement's.
-                ours = F.broadcast(new.select(*[F.col(f"`{c}`") for c in key]))
-                clash = not store.read(table).join(ours, list(key), "left_semi").isEmpty()
+                ours = F.broadcast(store.spark.createDataFrame(new, table.schema).select(*[F.col(f"`{c}`") for c in key]))
+                clash = not old.join(ours, list(key), "left_semi").isEmpty()
         if clash:
             raise ConstraintViolation(f"UNIQUE {table.name}({', '.join(key)})")
-    table.files.append(store.write(table, new.coalesce(1)))
+    table.files.append(store.write_rows(table, new))
+    table.ranges[table.files[-1]] = ranges
     if len(table.files) > MERGED and len(table.files) % 8 == 0:
         compact(store, table)
     return len(rows)
@@ -95,6 +124,8 @@ def compact(store: Store, table: Table) -> int:
             part = Table(table.name, table.columns, tiers[tier], table.indexes)
             new = store.write(table, store.read(part).coalesce(1) if not tier else store.read(part), whole=tier > 0)
             table.files = [f for f in table.files if f not in tiers[tier]] + [new]
+            known = [table.ranges.pop(f, {}) for f in tiers[tier]]
+            table.ranges[new] = {c: _range([v for r in known for v in r[c]]) for c in set.intersection(*map(set, known))}
             gone += len(tiers[tier])
     return gone
 

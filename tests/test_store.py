@@ -131,6 +131,28 @@ def test_append_checks_the_batch_and_the_old_rows(db, spark):
     assert sorted(r[0] for r in db.execute("SELECT id FROM t")) == [1, 8, 9]
 
 
+def test_bounds_of_keys_hide_no_clash(db, spark, monkeypatch):
+    """Directories whose keys lie elsewhere are not read; every other clash is found, after merging and rewriting too."""
+    monkeypatch.setattr(dml, "MERGED", 4)
+    db.execute("CREATE TABLE k (a INT, b TEXT UNIQUE, c INT)")
+    db.create_index("pair", "k", ["a", "c"], unique=True)
+    long = "z" * 100
+    for row in ("1, 'm', 1", f"5, '{long}', 1", "NULL, NULL, 1", "9, 'a', NULL", "7, 'q', 2"):
+        db.execute(f"INSERT INTO k VALUES ({row})")
+    for merged in (False, True, True):
+        if merged:
+            db.compact("k")
+        for row in ("1, 'x', 1", "6, 'm', 1", f"6, '{long}', 1", "7, 'y', 2", "20, 'a', 20", "7, 'q', 9"):
+            with pytest.raises(tessera.ConstraintViolation):
+                db.execute(f"INSERT INTO k VALUES ({row})")
+        db.execute(f"INSERT INTO k VALUES ({30 + merged}, NULL, 1), (NULL, NULL, 1)") if not merged else None
+    db.execute("UPDATE k SET a = a + 100, b = b + '!'")
+    db.execute("INSERT INTO k VALUES (1, 'm', 1)")
+    for row in ("101, 'x', 1", "0, 'm!', 0", "1, 'new', 1"):
+        with pytest.raises(tessera.ConstraintViolation):
+            db.execute(f"INSERT INTO k VALUES ({row})")
+
+
 def test_compaction_merges_only_like_sizes(db, spark, monkeypatch):
     monkeypatch.setattr(dml, "MERGED", 4)
     monkeypatch.setattr(dml, "LEAST_BYTES", 5_000)
