@@ -14,7 +14,7 @@ import public_tokenizers as P
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import ann_hilbert, bpe, bpe_codec, embed_dedup, labelled, langid, packing, quality_fm, queries, sharding, simhash, token_counts, toxicity
+from tessera.llm import ann_hilbert, bpe, bpe_codec, common, embed_dedup, labelled, langid, packing, quality_fm, queries, sharding, simhash, token_counts, toxicity
 from tessera.llm.common import ship
 
 ODD = [None, "", " ", "\n\n", "a  b\t c\n d", "don't  stop!! 12 ½ é", "日本語 text 🙂", "<|endoftext|> x <|startoftext|>", "the cat " * 3000, "the cat sat on the mat.", "the cat sat on the mat."]
@@ -467,6 +467,14 @@ def test_contracts(spark, name):
         assert all(r.query_id % 50 == 0 for r in rows) and {r["rank"] for r in rows} == {1, 2, 3, 4, 5} and len(rows) == 5 * len({r.query_id for r in rows})
 
 
+def test_intermediate_tables_are_removed_on_demand(spark, monkeypatch):
+    monkeypatch.setattr(common, "_WRITTEN", {})
+    table = common.materialise(spark.range(3), "three")
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert table.count() == 3 and folder.exists()
+    assert common.clear(spark) == 1 and not folder.exists() and common.clear(spark) == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert token_counts.token_counts(none, P.path("word_bpe_49k.json")).count() == 0
