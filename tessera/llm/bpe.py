@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import regex
 
+from .common import kept
+
 # The same classes as the public pattern's \p{L}, \p{N} and \s, over the characters SAFE allows.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r"
 FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -157,11 +159,6 @@ class JsonEncoder:
         return self.chunks.encode_ids(first) + b"".join(map(self.chunks.__getitem__, rest))
 
 
-_ENCODERS: dict[tuple[str, str], JsonEncoder] = {}
-
-
 def json_encoder(path: str, pattern: str) -> JsonEncoder:
     """One encoder a worker process, kept between tasks."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = JsonEncoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    return kept(("json", path, pattern), lambda: JsonEncoder(path, pattern))

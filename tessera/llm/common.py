@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,6 +107,31 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+#: What a worker keeps between the tasks of one operator.
+_KEPT: dict = {}
+
+
+def let_go() -> None:
+    """Drop what this worker keeps, and give freed memory back to the system.
+
+    A worker serves one operator after the other, and each one's caches would otherwise stay.
+    """
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def kept(key, make: Callable):
+    """What make() gave this worker in the last task that asked for key, if none asked for another since."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_arrow(df: DataFrame, make, schema: T.StructType) -> DataFrame:
     """mapInArrow over batches; make() runs once a task and returns a batch function."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkTable
-from .common import appended, map_arrow, remainder, with_columns
+from .common import appended, kept, map_arrow, remainder, with_columns
 
 # First and last code points of letters of a script (Unicode blocks).
 SCRIPTS = (
@@ -291,10 +291,6 @@ def parts(rows: pa.Array, most: int = 2 << 20):
         yield rows.slice(lo, hi - lo)
 
 
-#: The labeller of the last model, kept between a worker's tasks.
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def identify(docs: DataFrame, model: Languages, penalty: float = 8.0, with_spans: bool = False) -> DataFrame:
     """docs with lang_pred, score (and spans: character ranges with their language).
 
@@ -309,10 +305,7 @@ def identify(docs: DataFrame, model: Languages, penalty: float = 8.0, with_spans
     token = uuid.uuid4().hex
 
     def make():
-        if token not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[token] = Labeller(shared.value, penalty)
-        label = _LABELLERS[token]
+        label = kept(token, lambda: Labeller(shared.value, penalty))
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = batch.column(batch.schema.get_field_index("text"))

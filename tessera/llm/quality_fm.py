@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkTable
-from .common import appended, map_arrow, texts, with_columns
+from .common import appended, kept, map_arrow, texts, with_columns
 from .labelled import fitting_sample
 
 WORDS = 1 << 15
@@ -161,9 +161,6 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", stated.alias("n_chars"))
 
 
-_FEATURES: list[Features] = []
-
-
 def score(docs: DataFrame, model: Machine, cut: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= cut).
 
@@ -175,9 +172,7 @@ def score(docs: DataFrame, model: Machine, cut: float = 0.3) -> DataFrame:
     at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def make():
-        if not _FEATURES:
-            _FEATURES.append(Features())
-        features, machine = _FEATURES[0], shared.value
+        features, machine = kept("features", Features), shared.value
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = texts(batch)

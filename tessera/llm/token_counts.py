@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import appended, map_arrow, texts, with_columns
+from .common import appended, kept, map_arrow, texts, with_columns
 
 # The vocabulary's own split, over the characters bpe.UNSAFE lets through, after lower-casing.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{bpe._L}]+|[{bpe._N}]|[^{bpe._S}{bpe._L}{bpe._N}]+")
@@ -79,9 +79,6 @@ class Lengths(dict):
         return sum(map(self.__getitem__, text.lower().split()))
 
 
-_KEPT: dict[str, Lengths] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, cache_limit: int = 500_000) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit for the whole text.
 
@@ -92,9 +89,7 @@ def token_counts(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, cache
     extra = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
 
     def make():
-        if vocabulary not in _KEPT:
-            _KEPT[vocabulary] = Lengths(vocabulary, table.value, cache_limit)
-        count = _KEPT[vocabulary].count
+        count = kept(("lengths", vocabulary), lambda: Lengths(vocabulary, table.value, cache_limit)).count
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = texts(batch)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, map_arrow, materialise, texts, with_columns
+from .common import appended, kept, map_arrow, materialise, texts, with_columns
 from .labelled import fitting_sample
 
 # Letters that a sign imitates.
@@ -403,10 +403,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most: int = 5
     return Toxic(model, weights, bias)
 
 
-#: The scorer of the last model, kept between a worker's tasks.
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, toxic: Toxic, cut: float = 0.5) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= cut).
 
@@ -417,10 +413,7 @@ def score(docs: DataFrame, toxic: Toxic, cut: float = 0.5) -> DataFrame:
     token = uuid.uuid4().hex
 
     def make():
-        if token not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[token] = Scorer(shared.value)
-        scorer = _SCORERS[token]
+        scorer = kept(token, lambda: Scorer(shared.value))
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [scorer(s) for s in texts(batch)]
