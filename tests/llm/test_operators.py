@@ -9,10 +9,12 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import ann_hilbert, bpe, bpe_codec, common, embed_dedup, labelled, langid, packing, quality_fm, queries, sharding, simhash, token_counts, toxicity
 from tessera.llm.common import ship
@@ -486,3 +488,24 @@ def test_empty_tables(spark, docs):
     assert langid.identify(none, langid.fit(none)).count() == 0
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_fm.score(none, quality_fm.fit(none, marks)).count() == 0 and toxicity.score(none, toxicity.fit(none, marks)).count() == 0
+
+
+def test_a_worker_keeps_one_operators_caches(spark):
+    rows = spark.range(0, 64, 1, 16).select("id")
+    schema = T.StructType([T.StructField("pid", T.LongType()), T.StructField("made", T.StringType()), T.StructField("slots", T.LongType())])
+
+    def uses(key):
+        def make():
+            import os
+            import uuid
+
+            mine = common.kept(key, lambda: uuid.uuid4().hex)
+            return lambda batch: pa.RecordBatch.from_pylist([{"pid": os.getpid(), "made": mine, "slots": len(common._KEPT)}], schema=pa.schema([("pid", pa.int64()), ("made", pa.string()), ("slots", pa.int64())]))
+
+        return common.map_arrow(rows, make, schema).collect()
+
+    one, other = uses("one"), uses("other")
+    for found in (one, other):  # many tasks, one making a worker
+        assert len(found) == 16 and len({r.made for r in found}) == len({r.pid for r in found})
+        assert all(r.slots == 1 for r in found)
+    assert not {r.made for r in one} & {r.made for r in other}
