@@ -1,16 +1,23 @@
-"""Near copies by word shingles: min-hash bands for candidates, the exact overlap for links.
-
-A fingerprint of 64 bits can't carry a similarity of 0.8: at that Jaccard its distance is about ten
-bits, and covering masks for ten bits leave keys that half the table shares. Min-hash keys don't
-have that trouble: with BANDS keys of ROWS least hashes a pair at the threshold shares no key with
-probability (1 - 0.8**ROWS)**BANDS, 7e-5. Documents of equal shingles are one vertex. Every
-candidate is settled on the shingles themselves: first each bucket's vertices against its least
-vertex, which already joins most buckets to one component; then, in the buckets that still have
-several components, all pairs. Buckets of equal members are looked at once.
+"""Near copies by word shingles: covering SimHash for candidates, the exact overlap for links.
+
+A fingerprint of 64 bits can't carry a similarity of 0.8: at that Jaccard it differs in about ten
+places, and masks that cover ten bits leave keys that half the table shares. So fingerprints are
+longer, as long as the table needs, and cut into parts; every part gets the covering masks of RADIUS.
+A pair that differs in at most RADIUS bits of some part agrees under one of that part's masks, so no
+pair within parts * (RADIUS + 1) - 1 bits lacks a common key, and of pairs at the threshold, whose
+signs differ in 15 of 100 places, MISS. Keys grow with the logarithm of the rows, and with them the parts.
+
+Only a sketch of the fingerprint travels to the buckets of keys. What it leaves possible there makes
+groups of candidates, and every candidate is settled on the shingles themselves: first each group's
+vertices against its least vertex, which already joins most groups to one component; then, in the
+groups that still have several components, all pairs. Groups of equal members are looked at once.
+Documents of equal shingles are one vertex.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,14 +28,33 @@ from pyspark.sql import types as T
 from . import buckets
 from .common import appended, let_go, map_arrow, materialise, texts, with_columns
 from .components import connected_components
-from .simhash import shingle_hashes
+from .embed_dedup import most_apart
+from .simhash import masks, shingle_hashes
 
-WIDTH, BANDS, ROWS = 5, 24, 5
+WIDTH, RADIUS = 5, 1
 #: The least Jaccard similarity of a link, as a fraction.
 LEAST = (4, 5)
-_RNG = np.random.default_rng(20)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: The cosine of two sets at that similarity; least for sets of one size.
+COSINE = 2 * LEAST[0] / (LEAST[0] + LEAST[1])
+#: The probability that two sets at the threshold have no key in common, and that their sketches differ too much.
+MISS, SKETCH_MISS = 5e-5, 1e-5
+#: Vertices that share a key by chance, at most, and words of a sketch.
+PER_BUCKET, SKETCH = 900, 3
+#: Votes of a shingle on a sign. With one, sets of four and five shingles tie too often.
+VOTES = 2
+_TIMES = np.random.default_rng(20).integers(0, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def plan(rows: int) -> tuple[int, int]:
+    """(parts, bits of a part) of the fingerprints of so many rows.
+
+    The three masks of radius 1 each take two of a part's three classes of bits, so sets meet where two classes agree.
+    """
+    size = max(5, math.ceil(math.log2(max(1, rows) / PER_BUCKET) / 2))
+    same = (1 - math.acos(COSINE) / math.pi) ** size
+    parts = math.ceil(math.log(MISS) / math.log1p(2 * same**3 - 3 * same**2))
+    return max(parts, -(-64 * SKETCH // (3 * size))), 3 * size
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -36,14 +62,19 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(text, width).astype(np.uint64))
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """The keys under which a set of shingles meets those like it; none without shingles."""
-    if not len(shingles):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), 512):
-        np.minimum(least, (shingles[at : at + 512, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+def fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of shingles as 64 * words bits: 1 where over half the votes are."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(shingles), 1024):
+        votes = shingles[at : at + 1024, None] * _TIMES[: VOTES * words]
+        for by in _MIX:
+            votes ^= votes >> np.uint64(33)
+            votes *= by
+        votes ^= votes >> np.uint64(33)
+        votes = np.unpackbits(votes.reshape(-1, words).view(np.uint8), axis=1)
+        for k in range(0, len(votes), 255):
+            ones += votes[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return (ones * 2 > VOTES * len(shingles)).astype(np.uint8)
 
 
 def similar(shared, sizes):
@@ -74,23 +105,60 @@ def shared_counts(sets: list[np.ndarray], step: int = 4096, at_once: int = 1 <<
     return out
 
 
-def with_bands(docs: DataFrame) -> DataFrame:
-    """docs with `fp`, a digest of the set of shingles, and `bands`."""
+def with_prints(docs: DataFrame, parts: int, bits: int) -> DataFrame:
+    """docs with `fp`, a digest of the set of shingles, `sketch`, and `parts` of the fingerprint; none without shingles."""
+    words = -(-parts * bits // 64)
+    power = 1 << np.arange(bits, dtype=np.int64)
 
     def make():
         let_go()
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps, keys = [], []
+            fps, sketches, prints = [], [], []
             for s in texts(batch):
                 shingles = shingle_set(s)
                 fps.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
-                keys.append(bands(shingles))
-            return appended(batch, {"fp": pa.array(fps, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+                ones = fingerprint(shingles, words)
+                sketches.append(np.packbits(ones[: 64 * SKETCH]).view(np.int64))
+                prints.append(ones[: parts * bits].reshape(parts, bits) @ power if len(shingles) else [])
+            longs = pa.list_(pa.int64())
+            return appended(batch, {"fp": pa.array(fps, pa.int64()), "sketch": pa.array(sketches, longs), "parts": pa.array(prints, longs)})
 
         return fn
 
-    return map_arrow(docs, make, with_columns(docs.schema, [("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))]))
+    longs = T.ArrayType(T.LongType())
+    return map_arrow(docs, make, with_columns(docs.schema, [("fp", T.LongType()), ("sketch", longs), ("parts", longs)]))
+
+
+def candidates(prints: DataFrame, bits: int, block: int = 1024) -> DataFrame:
+    """prints(fp, sketch, parts), distinct -> (bucket, fp), the groups of candidates among those that share a key.
+
+    Any two that share a key and whose sketches are near are in one group, directly or by way of others.
+    """
+    apart = most_apart(64 * SKETCH, COSINE, SKETCH_MISS)
+    words = [F.col("sketch")[k].alias(f"w{k}") for k in range(SKETCH)]
+    at = prints.select("fp", *words, F.posexplode("parts").alias("at", "part"))
+    keys = [F.xxhash64("at", F.lit(t), F.col("part").bitwiseAND(F.lit(m & ((1 << bits) - 1)))) for t, m in enumerate(masks(RADIUS))]
+    rows = at.select("fp", *[f"w{k}" for k in range(SKETCH)], F.explode(F.array(*keys)).alias("bucket"))
+    rows = buckets.dealt(rows, rows.select("bucket", "fp"), "fp", block)
+    rows = rows.select("group", "side", "mixed", "fp", *[f"w{k}" for k in range(SKETCH)]).repartition("group").sortWithinPartitions("group")
+
+    def run(batches):
+        def columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+            sketch = np.stack([b.column(4 + k).to_numpy().view(np.uint64) for k in range(SKETCH)], axis=1)
+            return {"group": b.column(0).to_numpy(), "side": b.column(1).to_numpy(), "mixed": b.column(2).to_numpy(zero_copy_only=False), "id": b.column(3).to_numpy(), "sketch": sketch}
+
+        for part in buckets.whole_groups(batches, columns):
+            sketch = part["sketch"]
+            near = lambda a, b: np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= apart  # noqa: B023, E731
+            square = lambda s: sum(np.bitwise_count(w[s, None] ^ w[None, s]) for w in sketch.T) <= apart  # noqa: B023, E731
+            i, j = buckets.pairs_within(part, near, square)
+            on = np.unique(np.r_[i, j])
+            root = part["id"][buckets.roots(len(sketch), i, j)[on]]
+            bucket = part["group"][on].view(np.uint64) * _MIX[0] ^ root.view(np.uint64) * _MIX[1]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(part["id"][on])], names=["bucket", "fp"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def _star_links(pairs: DataFrame, said: DataFrame) -> DataFrame:
@@ -150,11 +218,13 @@ def heads(docs: DataFrame, key: list[str], block: int = 256) -> DataFrame:
     Texts without words are copies of one another. Rows equal in the key are one row.
     """
     order = F.struct(*[c for k in key for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
-    rows = with_bands(docs.select("text", *key)).select("fp", "bands", order.alias("least"))
-    dots = materialise(rows.groupBy("fp").agg(F.min("least").alias("least"), F.first("bands").alias("bands")), "vertices")
-    every = dots.select("fp", F.explode("bands").alias("bucket"))
+    parts, bits = plan(docs.count())
+    rows = with_prints(docs.select("text", *key), parts, bits).select("fp", "sketch", "parts", order.alias("least"))
+    dots = rows.groupBy("fp").agg(F.min("least").alias("least"), F.first("sketch").alias("sketch"), F.first("parts").alias("parts"))
+    dots = materialise(dots, "vertices")
+    every = materialise(candidates(dots, bits), "candidates")
     mark = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"m{i}") for i in (0, 1)]
-    seen = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("head"), *mark).where("n > 1")
+    seen = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("head"), *mark)
     seen = seen.groupBy("n", "head", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "head")
     members = materialise(every.join(seen, "bucket"), "members")
     wanted = members.select("fp").distinct().join(dots, "fp").select("fp", *[F.col("least")[k].alias(f"of_{k}") for k in key])

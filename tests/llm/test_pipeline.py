@@ -62,6 +62,47 @@ def test_near_copies(spark):
     assert set(by.values()) == {1}
 
 
+def test_covering_simhash(spark, monkeypatch):
+    """Fingerprints by plain counting; no pair within the covered radius missed, in cut buckets too; no way to a link beside it."""
+    rng = np.random.default_rng(7)
+    for n in (1, 4, 5, 300, 2500):
+        shingles = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        counts = [0] * 320
+        for h in map(int, shingles):
+            for word, times in enumerate(map(int, near_copies._TIMES[:10])):
+                v = h * times % (1 << 64)
+                for by in map(int, near_copies._MIX):
+                    v = (v ^ v >> 33) * by % (1 << 64)
+                digits = (v ^ v >> 33).to_bytes(8, "little")
+                for bit in range(64):
+                    counts[word % 5 * 64 + bit] += digits[bit // 8] >> (7 - bit % 8) & 1
+        assert near_copies.fingerprint(shingles, 5).tolist() == [int(c * 2 > 2 * n) for c in counts]
+    parts, bits = near_copies.plan(1000)
+    sets = []
+    for k in range(40):
+        one = rng.integers(0, 2, (parts, bits))
+        if k >= 20:
+            one[0] = sets[0][0]  # a key that many share
+        other = one.copy()
+        for part in range(parts):
+            at = rng.choice(bits, 1 if part == k % parts else 2, replace=False)
+            other[part, at] ^= 1
+        sets += [one, other]
+    power = 1 << np.arange(bits)
+    rows = [(i, np.packbits(s.ravel()[:192]).view(np.int64).tolist(), (s @ power).tolist()) for i, s in enumerate(sets)]
+    prints = spark.createDataFrame(rows, "fp long, sketch array<long>, parts array<long>")
+    for block in (1024, 6):
+        groups = {}
+        for r in near_copies.candidates(prints, bits, block).collect():
+            groups.setdefault(r.bucket, set()).add(r.fp)
+        assert set(map(frozenset, groups.values())) == {frozenset((i, i + 1)) for i in range(0, 80, 2)}
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words).upper())], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
+    monkeypatch.setattr(near_copies, "candidates", lambda prints, bits: spark.createDataFrame([], "bucket long, fp long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2]
+
+
 def test_shared_shingles_are_counted_in_ranges():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
