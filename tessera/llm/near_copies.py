@@ -8,10 +8,12 @@ pair within parts * (RADIUS + 1) - 1 bits lacks a common key, and of pairs at th
 signs differ in 15 of 100 places, MISS. Keys grow with the logarithm of the rows, and with them the parts.
 
 Only a sketch of the fingerprint travels to the buckets of keys. What it leaves possible there makes
-groups of candidates, and every candidate is settled on the shingles themselves: first each group's
-vertices against its least vertex, which already joins most groups to one component; then, in the
-groups that still have several components, all pairs. Groups of equal members are looked at once.
-Documents of equal shingles are one vertex.
+groups of candidates, and every candidate is settled on the shingles themselves, without all pairs of a
+group. A text of whose shingles no other has enough is like none. The rest of a group is compared with
+its hub, the text with the fewest shingles of its own, which joins most of what can be joined. What two
+texts of different components share is at most what both share with the hub, and what both hold beside
+it and others hold too; only pairs that this leaves possible are compared, in groups of their own.
+Groups of equal members are looked at once. Documents of equal shingles are one vertex.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def shared_counts(sets: list[np.ndarray], step: int = 4096, at_once: int = 1 <<
 
 
 def with_prints(docs: DataFrame, parts: int, bits: int) -> DataFrame:
-    """docs with `fp`, a digest of the set of shingles, `sketch`, and `parts` of the fingerprint; none without shingles."""
+    """docs with `fp`, a digest of the set of shingles, its `size`, `sketch`, and `parts` of the fingerprint; none without shingles."""
     words = -(-parts * bits // 64)
     power = 1 << np.arange(bits, dtype=np.int64)
 
@@ -114,20 +116,21 @@ def with_prints(docs: DataFrame, parts: int, bits: int) -> DataFrame:
         let_go()
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps, sketches, prints = [], [], []
+            fps, sizes, sketches, prints = [], [], [], []
             for s in texts(batch):
                 shingles = shingle_set(s)
                 fps.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
+                sizes.append(len(shingles))
                 ones = fingerprint(shingles, words)
                 sketches.append(np.packbits(ones[: 64 * SKETCH]).view(np.int64))
                 prints.append(ones[: parts * bits].reshape(parts, bits) @ power if len(shingles) else [])
             longs = pa.list_(pa.int64())
-            return appended(batch, {"fp": pa.array(fps, pa.int64()), "sketch": pa.array(sketches, longs), "parts": pa.array(prints, longs)})
+            return appended(batch, {"fp": pa.array(fps, pa.int64()), "size": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, longs), "parts": pa.array(prints, longs)})
 
         return fn
 
     longs = T.ArrayType(T.LongType())
-    return map_arrow(docs, make, with_columns(docs.schema, [("fp", T.LongType()), ("sketch", longs), ("parts", longs)]))
+    return map_arrow(docs, make, with_columns(docs.schema, [("fp", T.LongType()), ("size", T.LongType()), ("sketch", longs), ("parts", longs)]))
 
 
 def candidates(prints: DataFrame, bits: int, block: int = 1024) -> DataFrame:
@@ -161,24 +164,89 @@ def candidates(prints: DataFrame, bits: int, block: int = 1024) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
-def _star_links(pairs: DataFrame, said: DataFrame) -> DataFrame:
-    """The pairs(src, dst) whose texts are similar."""
+def once(groups: DataFrame) -> DataFrame:
+    """groups(bucket, fp) with n, the size of the group; one group of those with the same members."""
+    mark = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"m{i}") for i in (0, 1)]
+    seen = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("head"), *mark)
+    seen = seen.groupBy("n", "head", "m0", "m1").agg(F.min("bucket").alias("bucket"))
+    return groups.join(seen.select("bucket", "n"), "bucket")
+
+
+def alone(said: DataFrame) -> DataFrame:
+    """said(fp, text) -> (fp, alone): how many of a text's shingles no other text has; none is not listed."""
+
+    def run(batches):
+        for batch in batches:
+            for fp, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                shingles = shingle_set(text)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), fp, np.int64)), pa.array(shingles.view(np.int64))], names=["fp", "shingle"])
+
+    each = said.select("fp", "text").mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("fp", "shingle")]))
+    owner = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n = 1")
+    return owner.groupBy("fp").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def overlaps(pairs: DataFrame, said: DataFrame, at_once: int = 1 << 20) -> DataFrame:
+    """pairs(src, dst) -> the same with `shared`, how many shingles both texts have, and `sizes`, how many each has, added up.
+
+    A worker keeps the sets of about at_once shingles; few texts are the src of most pairs.
+    """
     both = pairs.join(said.select(F.col("fp").alias("src"), F.col("text").alias("a")), "src")
     both = both.join(said.select(F.col("fp").alias("dst"), F.col("text").alias("b")), "dst").select("src", "dst", "a", "b")
 
     def run(batches):
-        src, one = None, None
+        held, total = {}, 0
+
+        def shingles(fp: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal total
+            if fp not in held:
+                if total > at_once:
+                    held.clear()
+                    total = 0
+                held[fp] = shingle_set(text.as_py())
+                total += len(held[fp])
+            return held[fp]
+
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                if batch.column(0)[i].as_py() != src:
-                    src, one = batch.column(0)[i].as_py(), shingle_set(batch.column(2)[i].as_py())
-                two = shingle_set(batch.column(3)[i].as_py())
-                keep.append(bool(similar(len(np.intersect1d(one, two, assume_unique=True)), len(one) + len(two))))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["src", "dst"])
+            shared, sizes = [], []
+            for i, (src, dst) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                one, two = shingles(src, batch.column(2)[i]), shingles(dst, batch.column(3)[i])
+                shared.append(len(np.intersect1d(one, two, assume_unique=True)))
+                sizes.append(len(one) + len(two))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(sizes, pa.int64())], names=["src", "dst", "shared", "sizes"])
+
+    return both.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("src", "dst", "shared", "sizes")]))
+
+
+def possible(rows: DataFrame, block: int = 512) -> DataFrame:
+    """rows(bucket, fp, component, size, shared, beside) -> (bucket, fp), the groups of those that may be similar across components.
+
+    shared counts a text's shingles that its bucket's hub has, beside the others that any other text has.
+    No two that may be similar are in different groups only.
+    """
+    names = ("component", "size", "shared", "beside")
+    rows = buckets.dealt(rows, rows.select("bucket", "fp"), "fp", block)
+    rows = rows.select("group", "side", "mixed", "fp", *names).repartition("group").sortWithinPartitions("group")
+
+    def run(batches):
+        def columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+            out = {"group": b.column(0).to_numpy(), "side": b.column(1).to_numpy(), "mixed": b.column(2).to_numpy(zero_copy_only=False), "id": b.column(3).to_numpy()}
+            return out | {name: b.column(4 + k).to_numpy() for k, name in enumerate(names)}
+
+        for part in buckets.whole_groups(batches, columns):
+            of, size, shared, beside = (part[name] for name in names)
+
+            def may(a, b):
+                most = np.minimum(shared[a], shared[b]) + np.minimum(beside[a], beside[b])  # noqa: B023
+                return similar(most, size[a] + size[b]) & (of[a] != of[b])  # noqa: B023
 
-    return both.mapInArrow(run, T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())]))
+            i, j = buckets.pairs_within(part, may, lambda s: may(np.r_[s][:, None], np.r_[s][None, :]))  # noqa: B023
+            on = np.unique(np.r_[i, j])
+            root = part["id"][buckets.roots(len(size), i, j)[on]]
+            bucket = part["group"][on].view(np.uint64) * _MIX[0] ^ root.view(np.uint64) * _MIX[1]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(part["id"][on])], names=["bucket", "fp"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def _group_links(members: DataFrame, said: DataFrame, block: int) -> DataFrame:
@@ -212,6 +280,27 @@ def _group_links(members: DataFrame, said: DataFrame, block: int) -> DataFrame:
     return found.select(F.col("root").alias("src"), F.col("node").alias("dst"))
 
 
+def links(members: DataFrame, sizes: DataFrame, said: DataFrame, block: int) -> DataFrame:
+    """Edges whose components are those of all similar pairs of a group in members(bucket, fp); sizes(fp, size), said(fp, text)."""
+    held = said.select("fp").join(sizes, "fp").join(alone(said), "fp", "left").withColumn("held", F.col("size") - F.coalesce("alone", F.lit(0)))
+    held = materialise(held.where(F.col("held") * LEAST[1] >= F.col("size") * LEAST[0]).select("fp", "size", "held"), "held")
+    rows = members.join(held, "fp")
+    best = F.max(F.struct((F.col("held") / F.col("size")).alias("share"), "fp")).alias("best")
+    hubs = rows.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("best.fp").alias("hub"))
+    rows = materialise(rows.join(hubs, "bucket").where("fp <> hub"), "spokes")
+    shared = materialise(overlaps(rows.select(F.col("hub").alias("src"), F.col("fp").alias("dst")).distinct(), said), "overlaps")
+    found = shared.where(similar(F.col("shared"), F.col("sizes"))).select("src", "dst")
+    label = connected_components(found)
+    rows = rows.join(label, rows.fp == label.node, "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
+    several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = rows.join(several.select("bucket"), "bucket").join(shared.select(F.col("src").alias("hub"), F.col("dst").alias("fp"), "shared"), ["hub", "fp"])
+    rows = materialise(rows.select("bucket", "fp", "component", "size", "shared", (F.col("held") - F.col("shared")).alias("beside")), "open")
+    left = materialise(possible(rows), "possible")
+    if left.isEmpty():
+        return found
+    return found.unionByName(_group_links(materialise(once(left).select("bucket", "fp"), "left"), said, block))
+
+
 def heads(docs: DataFrame, key: list[str], block: int = 256) -> DataFrame:
     """The key columns of one row of every component of near copies: the least, nulls last.
 
@@ -219,27 +308,16 @@ def heads(docs: DataFrame, key: list[str], block: int = 256) -> DataFrame:
     """
     order = F.struct(*[c for k in key for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
     parts, bits = plan(docs.count())
-    rows = with_prints(docs.select("text", *key), parts, bits).select("fp", "sketch", "parts", order.alias("least"))
-    dots = rows.groupBy("fp").agg(F.min("least").alias("least"), F.first("sketch").alias("sketch"), F.first("parts").alias("parts"))
+    rows = with_prints(docs.select("text", *key), parts, bits).select("fp", "size", "sketch", "parts", order.alias("least"))
+    dots = rows.groupBy("fp").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "parts")])
     dots = materialise(dots, "vertices")
-    every = materialise(candidates(dots, bits), "candidates")
-    mark = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"m{i}") for i in (0, 1)]
-    seen = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("head"), *mark)
-    seen = seen.groupBy("n", "head", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "head")
-    members = materialise(every.join(seen, "bucket"), "members")
+    members = materialise(once(materialise(candidates(dots, bits), "candidates")).select("bucket", "fp"), "members")
     wanted = members.select("fp").distinct().join(dots, "fp").select("fp", *[F.col("least")[k].alias(f"of_{k}") for k in key])
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
     on = same[0]
     for c in same[1:]:
         on = on & c
     said = materialise(docs.select("text", *key).join(wanted, on).select("fp", "text").dropDuplicates(["fp"]), "said")
-    pairs = members.where("fp <> head").select(F.col("head").alias("src"), F.col("fp").alias("dst")).distinct()
-    links = materialise(_star_links(pairs, said), "links")
-    label = connected_components(links)
-    named = members.join(label, members.fp == label.node, "left").withColumn("component", F.coalesce("component", "fp"))
-    several = named.where("n > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = materialise(members.select("bucket", "fp").join(several.select("bucket"), "bucket"), "open")
-    if not open_.isEmpty():
-        label = connected_components(links.unionByName(_group_links(open_, said, block)))
+    label = connected_components(links(members, dots.select("fp", "size"), said, block))
     whole = dots.join(label, dots.fp == label.node, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("least").alias("least"))
     return whole.select(*[F.col("least")[k].alias(k) for k in key])

@@ -129,6 +129,53 @@ def test_all_pairs_of_a_bucket(spark):
     assert near and all(got.get(i, i) == label[i] for i in range(20))
 
 
+def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Near copies of one text: what their hub and the shingles held by others settle is not dealt again; no link is lost."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(140)]
+
+    def edited(changes, word):
+        copy = list(base)
+        for k, at in enumerate(sorted(rng.sample(range(5, 135), changes))):
+            copy[at] = f"{word}x{k}"
+        return copy
+
+    texts = [base, *[edited(1 + i % 2, f"a{i}") for i in range(150)], *[edited(4 + i % 2, f"b{i}") for i in range(150)]]
+    for i in range(4):  # two that are near each other and not the rest
+        one = edited(5, f"c{i}")
+        other = list(one)
+        other[60] = f"d{i}"
+        texts += [one, other]
+    texts = [" ".join(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    sets = [near_copies.shingle_set(t) for t in texts]
+    shared = near_copies.shared_counts(sets)
+    for i in range(len(texts)):
+        for j in range(i):
+            if shared[i, j] * 5 >= 4 * (len(sets[i]) + len(sets[j]) - shared[i, j]):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(len(texts))})
+    assert len(want) > 100 and any(find(i) == i - 1 for i in range(301, len(texts)))
+    dealt = []
+    whole = near_copies._group_links
+
+    def counted(members, said, block):
+        dealt.append(members.count())
+        return whole(members, said, block)
+
+    monkeypatch.setattr(near_copies, "_group_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+    assert sum(dealt) <= len(texts), dealt
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls, empties, repeats, clashing names and an empty table, through every stage and run()."""
     words = {"en": ["the", "water", "thing", "house", "with", "stone", "river"], "de": ["der", "wasser", "schule", "haus", "nicht", "stein", "fluss"]}
