@@ -42,6 +42,8 @@ COSINE = 2 * LEAST[0] / (LEAST[0] + LEAST[1])
 MISS, SKETCH_MISS = 5e-5, 1e-5
 #: Vertices that share a key by chance, at most, and words of a sketch.
 PER_BUCKET, SKETCH = 900, 3
+#: Least hashes by which texts of a family within a family meet.
+LEAST_HASHES = 2
 #: Votes of a shingle on a sign. With one, sets of four and five shingles tie too often.
 VOTES = 2
 _TIMES = np.random.default_rng(20).integers(0, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,42 +136,71 @@ def with_prints(docs: DataFrame, parts: int, bits: int) -> DataFrame:
 
 
 def candidates(prints: DataFrame, bits: int, block: int = 1024) -> DataFrame:
-    """prints(fp, sketch, parts), distinct -> (bucket, fp), the groups of candidates among those that share a key.
+    """prints(fp, sketch, parts), distinct -> (bucket, fp), the groups of candidates; bucket is a group's least fp, and every fp is in one at most.
 
     Any two that share a key and whose sketches are near are in one group, directly or by way of others.
+    The holders of a key are compared in parts of `block`, each in one part. Where a key has several parts,
+    its largest component so far, mostly one family, is not compared within itself again: its members meet
+    the other holders of the key, and these one another.
     """
-    apart = most_apart(64 * SKETCH, COSINE, SKETCH_MISS)
     words = [F.col("sketch")[k].alias(f"w{k}") for k in range(SKETCH)]
     at = prints.select("fp", *words, F.posexplode("parts").alias("at", "part"))
     keys = [F.xxhash64("at", F.lit(t), F.col("part").bitwiseAND(F.lit(m & ((1 << bits) - 1)))) for t, m in enumerate(masks(RADIUS))]
     rows = at.select("fp", *[f"w{k}" for k in range(SKETCH)], F.explode(F.array(*keys)).alias("bucket"))
-    rows = buckets.dealt(rows, rows.select("bucket", "fp"), "fp", block)
-    rows = rows.select("group", "side", "mixed", "fp", *[f"w{k}" for k in range(SKETCH)]).repartition("group").sortWithinPartitions("group")
+    hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = materialise(hot.select("bucket", F.ceil(F.col("n") / block).alias("parts")), "hot")
+    spread = F.xxhash64("bucket", "fp")
+    once = rows.join(hot, "bucket", "left").withColumn("group", F.xxhash64("bucket", F.pmod(spread, F.coalesce("parts", F.lit(1)))))
+    label = connected_components(_near(once))
+    if not hot.isEmpty():
+        again = rows.join(hot.select("bucket"), "bucket").join(label.withColumnRenamed("node", "fp"), "fp", "left")
+        again = materialise(again.withColumn("of", F.coalesce("component", "fp")).drop("component"), "again")
+        most = again.groupBy("bucket", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        most = most.agg(F.max(F.struct("n", "of")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+        most = most.select("bucket", F.col("most.of").alias("large"), F.ceil((F.col("n") - F.col("most.n")) / block).alias("few"), F.ceil(F.col("most.n") / block).alias("many"))
+        again = again.join(most, "bucket").withColumn("inside", F.col("of") == F.col("large"))
+        again = again.withColumn("side", F.when(F.col("inside"), F.col("few") + F.pmod(spread, F.col("many"))).otherwise(F.pmod(spread, F.col("few"))))
+        last = F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+        again = again.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        again = again.withColumn("group", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))).withColumn("mixed", F.col("side") != F.col("other"))
+        found = materialise(_near(again, True), "near")
+        if not found.isEmpty():
+            label = connected_components(label.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(found))
+    return label.select(F.col("component").alias("bucket"), F.col("node").alias("fp"))
+
+
+def _near(rows: DataFrame, again: bool = False) -> DataFrame:
+    """rows(group, fp, w0, ...) -> edges (src, dst) whose components are those of the pairs of a group with near sketches.
+
+    again: rows also has side, mixed (as buckets.dealt gives them) and `of`, and two of the same `of` are no pair.
+    """
+    apart = most_apart(64 * SKETCH, COSINE, SKETCH_MISS)
+    rows = rows.select("group", "fp", *[f"w{k}" for k in range(SKETCH)], *(("side", "mixed", "of") if again else ())).repartition("group").sortWithinPartitions("group")
 
     def run(batches):
         def columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-            sketch = np.stack([b.column(4 + k).to_numpy().view(np.uint64) for k in range(SKETCH)], axis=1)
-            return {"group": b.column(0).to_numpy(), "side": b.column(1).to_numpy(), "mixed": b.column(2).to_numpy(zero_copy_only=False), "id": b.column(3).to_numpy(), "sketch": sketch}
+            sketch = np.stack([b.column(2 + k).to_numpy().view(np.uint64) for k in range(SKETCH)], axis=1)
+            out = {"group": b.column(0).to_numpy(), "id": b.column(1).to_numpy(), "sketch": sketch}
+            if again:
+                side, mixed, of = (b.column(2 + SKETCH + k).to_numpy(zero_copy_only=False) for k in range(3))
+                return out | {"side": side, "mixed": mixed, "of": of}
+            return out | {"side": np.zeros(len(sketch), np.int8), "mixed": np.zeros(len(sketch), bool)}
 
         for part in buckets.whole_groups(batches, columns):
-            sketch = part["sketch"]
-            near = lambda a, b: np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= apart  # noqa: B023, E731
-            square = lambda s: sum(np.bitwise_count(w[s, None] ^ w[None, s]) for w in sketch.T) <= apart  # noqa: B023, E731
-            i, j = buckets.pairs_within(part, near, square)
-            on = np.unique(np.r_[i, j])
-            root = part["id"][buckets.roots(len(sketch), i, j)[on]]
-            bucket = part["group"][on].view(np.uint64) * _MIX[0] ^ root.view(np.uint64) * _MIX[1]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(part["id"][on])], names=["bucket", "fp"])
+            sketch, of = part["sketch"], part.get("of")
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("fp", T.LongType())]))
+            def near(a, b):
+                hit = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= apart  # noqa: B023
+                return hit if of is None else hit & (of[a] != of[b])  # noqa: B023
 
+            def square(s):
+                hit = sum(np.bitwise_count(w[s, None] ^ w[None, s]) for w in sketch.T) <= apart  # noqa: B023
+                return hit if of is None else hit & (of[s, None] != of[None, s])  # noqa: B023
 
-def once(groups: DataFrame) -> DataFrame:
-    """groups(bucket, fp) with n, the size of the group; one group of those with the same members."""
-    mark = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"m{i}") for i in (0, 1)]
-    seen = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("head"), *mark)
-    seen = seen.groupBy("n", "head", "m0", "m1").agg(F.min("bucket").alias("bucket"))
-    return groups.join(seen.select("bucket", "n"), "bucket")
+            yield buckets.linked_rows(part, *buckets.pairs_within(part, near, square))
+
+    found = rows.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("node", "links", "root")]))
+    return found.select(F.col("root").alias("src"), F.col("node").alias("dst"))
 
 
 def alone(said: DataFrame) -> DataFrame:
@@ -219,14 +250,22 @@ def overlaps(pairs: DataFrame, said: DataFrame, at_once: int = 1 << 20) -> DataF
 
 
 def possible(rows: DataFrame, block: int = 512) -> DataFrame:
-    """rows(bucket, fp, component, size, shared, beside) -> (bucket, fp), the groups of those that may be similar across components.
+    """rows(bucket, fp, component, size, shared, beside) -> those that may be similar to one of another component of their bucket.
 
-    shared counts a text's shingles that its bucket's hub has, beside the others that any other text has.
-    No two that may be similar are in different groups only.
+    shared counts a text's shingles that its bucket's hub has, beside the others that count. Texts of the same
+    counts stand or fall together, so counts are compared and not texts; large ones are rounded to 8 bits,
+    sizes down and the others up, so that there are not as many as texts. No pair is lost by that.
     """
-    names = ("component", "size", "shared", "beside")
-    rows = buckets.dealt(rows, rows.select("bucket", "fp"), "fp", block)
-    rows = rows.select("group", "side", "mixed", "fp", *names).repartition("group").sortWithinPartitions("group")
+    unit = F.expr("cast(pow(2, greatest(0, floor(log2(size)) - 7)) as long)")
+    up = lambda c: F.ceil(F.col(c) / unit) * unit
+    names = ("size", "shared", "beside", "lo", "hi")
+    counts = [(F.col("size") - F.col("size") % unit).alias("size"), up("shared").alias("shared"), up("beside").alias("beside")]
+    rows = rows.withColumn("like", F.xxhash64("bucket", *counts))
+    kinds = rows.select("bucket", "like", "component", *counts).groupBy("bucket", "like").agg(
+        *[F.first(c).alias(c) for c in names[:3]], F.min("component").alias("lo"), F.max("component").alias("hi"))
+    kinds = materialise(kinds, "kinds")
+    kinds = buckets.dealt(kinds, kinds.select("bucket", "like"), "like", block)
+    kinds = kinds.select("group", "side", "mixed", "like", *names).repartition("group").sortWithinPartitions("group")
 
     def run(batches):
         def columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -234,19 +273,38 @@ def possible(rows: DataFrame, block: int = 512) -> DataFrame:
             return out | {name: b.column(4 + k).to_numpy() for k, name in enumerate(names)}
 
         for part in buckets.whole_groups(batches, columns):
-            of, size, shared, beside = (part[name] for name in names)
+            size, shared, beside, lo, hi = (part[name] for name in names)
 
             def may(a, b):
                 most = np.minimum(shared[a], shared[b]) + np.minimum(beside[a], beside[b])  # noqa: B023
-                return similar(most, size[a] + size[b]) & (of[a] != of[b])  # noqa: B023
+                return similar(most, size[a] + size[b]) & (np.minimum(lo[a], lo[b]) != np.maximum(hi[a], hi[b]))  # noqa: B023
 
             i, j = buckets.pairs_within(part, may, lambda s: may(np.r_[s][:, None], np.r_[s][None, :]))  # noqa: B023
-            on = np.unique(np.r_[i, j])
-            root = part["id"][buckets.roots(len(size), i, j)[on]]
-            bucket = part["group"][on].view(np.uint64) * _MIX[0] ^ root.view(np.uint64) * _MIX[1]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(part["id"][on])], names=["bucket", "fp"])
+            own = np.arange(len(size))
+            on = np.unique(np.r_[i, j, np.flatnonzero(may(own, own))])
+            yield pa.RecordBatch.from_arrays([pa.array(part["id"][on])], names=["like"])
+
+    on = kinds.mapInArrow(run, T.StructType([T.StructField("like", T.LongType())]))
+    return rows.join(materialise(on, "on"), "like", "left_semi").drop("like")
+
+
+def beside(rows: DataFrame, said: DataFrame) -> DataFrame:
+    """rows(bucket, hub, fp) -> (bucket, fp, shingle): what a text has beside its hub and another of its bucket has too."""
+    both = rows.select("bucket", "hub", "fp").join(said.select(F.col("fp").alias("hub"), F.col("text").alias("a")), "hub")
+    both = both.join(said.select("fp", F.col("text").alias("b")), "fp").select("bucket", "fp", "hub", "a", "b")
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("fp", T.LongType())]))
+    def run(batches):
+        of, hub = None, np.empty(0, np.uint64)
+        for batch in batches:
+            for bucket, fp, src, one, two in zip(*(batch.column(k) for k in range(5)), strict=True):
+                if of != src.as_py():
+                    of, hub = src.as_py(), shingle_set(one.as_py())
+                own = np.setdiff1d(shingle_set(two.as_py()), hub, assume_unique=True).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket.as_py(), np.int64)), pa.array(np.full(len(own), fp.as_py(), np.int64)), pa.array(own)], names=["bucket", "fp", "shingle"])
+
+    each = materialise(both.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("bucket", "fp", "shingle")])), "each")
+    common = each.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "shingle")
+    return each.join(common, ["bucket", "shingle"])
 
 
 def _group_links(members: DataFrame, said: DataFrame, block: int) -> DataFrame:
@@ -280,25 +338,54 @@ def _group_links(members: DataFrame, said: DataFrame, block: int) -> DataFrame:
     return found.select(F.col("root").alias("src"), F.col("node").alias("dst"))
 
 
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows(fp, ...) with `component`, by the edges found."""
+    label = connected_components(found).withColumnRenamed("node", "fp")
+    return rows.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def links(members: DataFrame, sizes: DataFrame, said: DataFrame, block: int) -> DataFrame:
-    """Edges whose components are those of all similar pairs of a group in members(bucket, fp); sizes(fp, size), said(fp, text)."""
+    """Edges whose components are those of all similar pairs of a group in members(bucket, fp), each fp in one; sizes(fp, size), said(fp, text)."""
     held = said.select("fp").join(sizes, "fp").join(alone(said), "fp", "left").withColumn("held", F.col("size") - F.coalesce("alone", F.lit(0)))
     held = materialise(held.where(F.col("held") * LEAST[1] >= F.col("size") * LEAST[0]).select("fp", "size", "held"), "held")
     rows = members.join(held, "fp")
     best = F.max(F.struct((F.col("held") / F.col("size")).alias("share"), "fp")).alias("best")
     hubs = rows.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("best.fp").alias("hub"))
     rows = materialise(rows.join(hubs, "bucket").where("fp <> hub"), "spokes")
-    shared = materialise(overlaps(rows.select(F.col("hub").alias("src"), F.col("fp").alias("dst")).distinct(), said), "overlaps")
+    shared = materialise(overlaps(rows.select(F.col("hub").alias("src"), F.col("fp").alias("dst")), said), "overlaps")
     found = shared.where(similar(F.col("shared"), F.col("sizes"))).select("src", "dst")
-    label = connected_components(found)
-    rows = rows.join(label, rows.fp == label.node, "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
-    several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = rows.join(several.select("bucket"), "bucket").join(shared.select(F.col("src").alias("hub"), F.col("dst").alias("fp"), "shared"), ["hub", "fp"])
-    rows = materialise(rows.select("bucket", "fp", "component", "size", "shared", (F.col("held") - F.col("shared")).alias("beside")), "open")
-    left = materialise(possible(rows), "possible")
+    rows = rows.join(shared.select(F.col("dst").alias("fp"), "shared"), "fp").withColumn("beside", F.col("held") - F.col("shared"))
+    left = materialise(possible(_named(rows, found)).select("bucket", "hub", "fp", "component", "size", "shared"), "possible")
     if left.isEmpty():
         return found
-    return found.unionByName(_group_links(materialise(once(left).select("bucket", "fp"), "left"), said, block))
+    found, left = by_beside(found, left, said, block)
+    return found.unionByName(_group_links(left.select("bucket", "fp"), said, block))
+
+
+def by_beside(found: DataFrame, left: DataFrame, said: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """More edges, and what they leave of left(bucket, hub, fp, component, size, shared), of buckets with over `block` texts.
+
+    Such a bucket holds families within a family. Texts with a least hash in common, of the shingles that they
+    have beside the hub, are compared with one of them. Then only what is held by another component counts.
+    """
+    large = materialise(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("bucket"), "large")
+    if large.isEmpty():
+        return found, left
+    rows = left.join(large, "bucket", "left_semi")
+    each = materialise(beside(rows, said), "beside")
+    hashes = F.array(*[F.min(F.xxhash64(F.lit(i), "shingle")) for i in range(LEAST_HASHES)])
+    keys = each.groupBy("bucket", "fp").agg(F.count(F.lit(1)).alias("n"), hashes.alias("hashes"))
+    keys = keys.select("bucket", "fp", "n", F.posexplode("hashes").alias("at", "least"))
+    hubs = keys.groupBy("bucket", "at", "least").agg(F.max(F.struct("n", "fp"))["fp"].alias("src"))
+    pairs = keys.join(hubs, ["bucket", "at", "least"]).where("src <> fp").select("src", F.col("fp").alias("dst")).distinct()
+    more = overlaps(pairs, said).where(similar(F.col("shared"), F.col("sizes"))).select("src", "dst")
+    found = materialise(found.unionByName(more), "found")
+    rows = materialise(_named(rows.drop("component"), found), "open")
+    each = each.join(rows.select("fp", "component"), "fp")
+    across = each.groupBy("bucket", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "shingle")
+    counts = each.join(across, ["bucket", "shingle"]).groupBy("fp").agg(F.count(F.lit(1)).alias("beside"))
+    rows = possible(rows.join(counts, "fp", "left").withColumn("beside", F.coalesce("beside", F.lit(0).cast("long"))))
+    return found, materialise(rows.select(*left.columns).unionByName(left.join(large, "bucket", "left_anti").select(*left.columns)), "left")
 
 
 def heads(docs: DataFrame, key: list[str], block: int = 256) -> DataFrame:
@@ -311,8 +398,8 @@ def heads(docs: DataFrame, key: list[str], block: int = 256) -> DataFrame:
     rows = with_prints(docs.select("text", *key), parts, bits).select("fp", "size", "sketch", "parts", order.alias("least"))
     dots = rows.groupBy("fp").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "parts")])
     dots = materialise(dots, "vertices")
-    members = materialise(once(materialise(candidates(dots, bits), "candidates")).select("bucket", "fp"), "members")
-    wanted = members.select("fp").distinct().join(dots, "fp").select("fp", *[F.col("least")[k].alias(f"of_{k}") for k in key])
+    members = materialise(candidates(dots, bits), "members")
+    wanted = members.join(dots, "fp").select("fp", *[F.col("least")[k].alias(f"of_{k}") for k in key])
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
     on = same[0]
     for c in same[1:]:

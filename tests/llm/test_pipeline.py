@@ -176,6 +176,93 @@ def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert sum(dealt) <= len(texts), dealt
 
 
+def test_a_key_of_a_large_family_is_not_dealt_by_pairs_of_parts(spark, monkeypatch):
+    """Candidates against brute force where all share a key; the rows dealt follow the family's size, and a group lists a vertex once."""
+    rng = np.random.default_rng(4)
+    apart = near_copies.most_apart(64 * near_copies.SKETCH, near_copies.COSINE, near_copies.SKETCH_MISS)
+
+    def flipped(bits, changes):
+        other = bits.copy()
+        other[rng.choice(len(bits), changes, replace=False)] ^= 1
+        return other
+
+    base = rng.integers(0, 2, 192, dtype=np.uint8)
+    sketches = [flipped(base, int(rng.integers(1, 20))) for _ in range(400)]
+    sketches += [flipped(sketches[k], 46) for k in range(12)]  # most are near one member, or a few
+    sketches += [flipped(sketches[400 + k], 46) for k in range(4)]  # and these only to those
+    lone = [rng.integers(0, 2, 192, dtype=np.uint8) for _ in range(6)]
+    sketches += [*lone, flipped(lone[0], 30)]
+    words = [np.packbits(x).view(np.int64).tolist() for x in sketches]
+    prints = spark.createDataFrame([(i, w, [7]) for i, w in enumerate(words)], "fp long, sketch array<long>, parts array<long>")
+    near = np.array([[int((a != b).sum()) <= apart for b in sketches] for a in sketches])
+    label = near_copies.buckets.roots(len(sketches), *np.nonzero(np.triu(near, 1)))
+    want = {i: int(x) for i, x in enumerate(label) if (label == x).sum() > 1}
+    assert 2 <= len(set(want.values())) and len(want) < len(sketches)
+    dealt, whole = [], near_copies._near
+
+    def counted(rows, again=False):
+        dealt.append(rows.count())
+        return whole(rows, again)
+
+    monkeypatch.setattr(near_copies, "_near", counted)
+    for block, most in ((1024, 1), (20, 3), (7, 8)):
+        got = near_copies.candidates(prints, 15, block).collect()
+        assert {r.fp: r.bucket for r in got} == want and len(got) == len(want)
+        assert sum(dealt) <= most * 3 * len(sketches), (block, dealt)
+        dealt.clear()
+
+
+def test_families_within_a_family(spark, monkeypatch):
+    """Groups of near copies of copies that are not near: no link is lost, and what is dealt pair by pair is less than the texts."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(140)]
+
+    def edited(words, at, word):
+        copy = list(words)
+        for k in at:
+            copy[k] = f"{word}x{k}"
+        return copy
+
+    texts = [base]
+    for c in range(14):
+        centre = edited(base, rng.sample(range(5, 135), 4), f"c{c}")
+        texts += [edited(centre, [rng.randrange(5, 135)], f"m{c}n{i}") for i in range(30)]
+    texts = [" ".join(t) for t in texts]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    shared, size = near_copies.shared_counts(sets), np.array([len(s) for s in sets])
+    label = near_copies.buckets.roots(len(sets), *np.nonzero(np.triu(near_copies.similar(shared, size[:, None] + size[None, :]), 1)))
+    want = sorted({int(x) for x in label})
+    assert 5 < len(want) < len(texts) / 2
+    dealt, whole = [], near_copies._group_links
+
+    def counted(members, said, block):
+        dealt.append(members.count())
+        return whole(members, said, block)
+
+    monkeypatch.setattr(near_copies, "_group_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+    assert sum(dealt) < len(texts), dealt
+
+
+def test_rounded_counts_lose_no_pair(spark):
+    """Which texts may be similar, by counts of any size, against all pairs; nothing of one component stays."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        size = int(rng.integers(5, 5000)) if i % 2 else int(rng.integers(100, 140))
+        shared = int(rng.integers(size * 6 // 10, size + 1))
+        rows.append((i % 3, i, int(rng.integers(0, 40)), size, shared, int(rng.integers(0, max(1, size - shared) + 1))))
+    rows += [(9, 1000 + i, 5, 100, 100, 0) for i in range(5)]
+    table = spark.createDataFrame(rows, "bucket long, fp long, component long, size long, shared long, beside long")
+    may = {r[1] for r in rows for q in rows if r[0] == q[0] and r[2] != q[2] and near_copies.similar(min(r[4], q[4]) + min(r[5], q[5]), r[3] + q[3])}
+    small = {r[1] for r in rows if r[3] < 256}
+    for block in (512, 8):
+        got = [r.fp for r in near_copies.possible(table, block).collect()]
+        assert len(got) == len(set(got)) and may <= set(got) and not any(i >= 1000 for i in got)
+        assert {i for i in got if i in small} - may == set() or len(got) < len(rows)
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls, empties, repeats, clashing names and an empty table, through every stage and run()."""
     words = {"en": ["the", "water", "thing", "house", "with", "stone", "river"], "de": ["der", "wasser", "schule", "haus", "nicht", "stein", "fluss"]}
